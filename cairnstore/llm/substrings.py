@@ -33,7 +33,7 @@ from .words import shingles, words
 
 LENGTH, GRAM = 13, 5
 #: An anchor of more documents than this makes single-window shards.
-HOT = 1000
+HOT = 5000
 LAST = (1 << 63) - 1
 
 
