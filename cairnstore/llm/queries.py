@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import chat, decontaminate, exact, mixing, substrings
+from . import chat, decontaminate, exact, mixing, neardup, substrings
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op3_decontaminate": decontaminate.query,
     "op7_substrings": substrings.query,
     "op8_chat": chat.query,
+    "op9_neardup": neardup.query,
     "op10_exact_dedup": exact.query,
 }
 
