@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, small
 from .words import mix, shingles, words
 
 GRAM, BANDS, ROWS, THRESHOLD = 5, 16, 4, 0.8
@@ -298,7 +298,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mine = sizes.join(total, "c").select("v", "rid", "c", "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("b"))
     mine = materialise(mine, "members")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
-    held = texts.join(mine.withColumnRenamed("rid", "mrid"), (F.col("d") == F.col("v")) & (F.col("rid") == F.col("mrid")))
+    held = texts.join(small(mine.withColumnRenamed("rid", "mrid")), (F.col("d") == F.col("v")) & (F.col("rid") == F.col("mrid")))
     held = held.select("d", "text", "c", "b", F.explode(pairs).alias("p"))
     tasks = held.select(F.xxhash64("c", "p.i", "p.j").alias("task"), "d", F.col("b").alias("side"), "text")
     links = tasks.repartition("task").sortWithinPartitions("task", "d").mapInArrow(_links(idf, threshold), "u long, v long")
