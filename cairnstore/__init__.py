@@ -1 +1,8 @@
 """A deduplicating snapshot engine on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value, so that executors need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
