@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Shared:
+    """A broadcast whose classes travel by value, as functions do; the driver proves the size of what it sends."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return cloudpickle.loads(self.sent.value)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: lineage ends at replicated storage."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, small
+from .common import Shared, materialise, slices, small
 from .words import mix, shingles, words
 
 GRAM, BANDS, ROWS, THRESHOLD = 5, 16, 4, 0.8
@@ -179,7 +179,7 @@ def _sign(idf):
 def _links(idf, threshold: float):
     """Links within a block, or between two blocks: of all pairs over the threshold, a spanning forest."""
 
-    def linked(held):
+    def linked(held, table):
         ids = [d for d, _, _ in held]
         side = np.array([s for _, s, _ in held])
         elements, owner, tf_all = [], [], []
@@ -188,7 +188,7 @@ def _links(idf, threshold: float):
         done = 0
         for part in slices(iter([batch])):
             for i, _, x, tf in texts_of(part):
-                weight = idf.value[_bins(x)]
+                weight = table[_bins(x)]
                 sizes[done + i] = float((weight * tf).sum())
                 k = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)  # the k-th of equal shingles is an element of its own
                 y = np.repeat(x, tf)
@@ -233,16 +233,16 @@ def _links(idf, threshold: float):
                     yield ids[i], ids[int(j)]
 
     def run(batches):
-        at, held = None, []
+        at, held, table = None, [], idf.value
         for batch in batches:
             out = []
             for key, d, s, t in zip(*(batch.column(c).to_pylist() for c in ("task", "d", "side", "text")), strict=True):
                 if key != at:
-                    out += linked(held) if len(held) > 1 else ()
+                    out += linked(held, table) if len(held) > 1 else ()
                     at, held = key, []
                 held.append((d, s, t or ""))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
-        out = list(linked(held)) if len(held) > 1 else []
+        out = list(linked(held, table)) if len(held) > 1 else []
         yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
 
     return run
@@ -281,7 +281,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("rid"), "text")
-    idf = spark.sparkContext.broadcast(idf_table(texts))
+    idf = Shared(spark, idf_table(texts))
     signed = materialise(texts.mapInArrow(_sign(idf), "d long, rid long, n long, low long, high long, bands array<long>"), "signed")
     # copies: one of each stands for all, and one text for each id
     same = ["n", "low", "high"]

@@ -12,6 +12,9 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For folded words: everything in ASCII but letters and digits separates, capital letters become small ones.
+_OTHER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 _M1, _M2, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
 _MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 
@@ -58,14 +61,16 @@ class Words:
         return self.data[s[0] : e[-1]].tobytes() if b > a else b""
 
 
-def words(texts: pa.Array) -> Words:
-    """Splits a large_string array without nulls."""
+def words(texts: pa.Array, fold: bool = False) -> Words:
+    """Splits a large_string array without nulls; fold: into lower-case words without ASCII punctuation."""
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.zeros(0, np.uint8)
     bounds = bounds - bounds[0]
     data = np.concatenate([data, np.full(8, 0x20, np.uint8)])
-    space = _SPACE[data]
+    if fold:
+        data = _FOLD[data]
+    space = (_OTHER if fold else _SPACE)[data]
     n = bounds[-1]
     begins = np.empty(n, bool)
     ends = np.empty(n, bool)
