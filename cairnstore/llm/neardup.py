@@ -7,8 +7,10 @@ variates, the gammas by inverse distribution at 4096 points picked by the shingl
 same with a probability of their weighted Jaccard similarity. 16 bands of 4 samples find a pair of similarity 0.8
 with a probability of 0.9998. Texts that share a band are gathered by their candidate component, a large
 component in blocks so that each pair of blocks is a task, and there the weighted Jaccard similarity of all pairs
-is computed exactly, as matrix products; nothing but a spanning forest of the links leaves the task. Classes are the
-connected components of links, named by their smallest id.
+is computed exactly, as matrix products; nothing but a spanning forest of the links leaves the task. Two texts are
+linked if their weighted Jaccard similarity reaches the threshold with these weights or with counts alone: in a
+large group the shared shingles weigh little, which must not lose a link. Classes are the connected components of
+links, named by their smallest id.
 
 Copies (texts with the same shingles) are one text in all this, so thousands of copies cost no more than one.
 
@@ -184,12 +186,12 @@ def _links(idf, threshold: float):
         side = np.array([s for _, s, _ in held])
         elements, owner, tf_all = [], [], []
         batch = pa.record_batch([pa.array([t for _, _, t in held], pa.large_string())], ["text"])
-        sizes = np.zeros(len(ids))
+        sizes, counts = np.zeros(len(ids)), np.zeros(len(ids))
         done = 0
         for part in slices(iter([batch])):
             for i, _, x, tf in texts_of(part):
                 weight = table[_bins(x)]
-                sizes[done + i] = float((weight * tf).sum())
+                sizes[done + i], counts[done + i] = float((weight * tf).sum()), float(tf.sum())
                 k = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)  # the k-th of equal shingles is an element of its own
                 y = np.repeat(x, tf)
                 elements.append(np.where(k > 0, mix(y + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), y))
@@ -209,14 +211,17 @@ def _links(idf, threshold: float):
         if not len(o):
             return
         column = np.unique(column, return_inverse=True)[1]
-        both = np.zeros((len(ids), len(ids)), np.float64)
+        both, shared = (np.zeros((len(ids), len(ids)), np.float64) for _ in range(2))
         last = int(column.max()) + 1
         for lo in range(0, last, WIDE):
             a, b = np.searchsorted(column, (lo, lo + WIDE))
             m = np.zeros((len(ids), min(WIDE, last - lo)), np.float32)
+            m[o[a:b], column[a:b] - lo] = 1
+            shared += m @ m.T
             m[o[a:b], column[a:b] - lo] = np.sqrt(wt[a:b])
             both += m @ m.T
-        similar = both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1e-12) >= threshold - 1e-6
+        jaccard = lambda inter, size: inter / np.maximum(size[:, None] + size[None, :] - inter, 1e-12)
+        similar = np.maximum(jaccard(both, sizes), jaccard(shared, counts)) >= threshold - 1e-6
         root = list(range(len(ids)))
 
         def find(v):

@@ -44,7 +44,9 @@ def classes(rows, idf, threshold=0.8):
             a, b = bags[i], bags[j]
             inter = sum(min(a[k], b[k]) * w(k) for k in a if k in b)
             union = sum(v * w(k) for k, v in a.items()) + sum(v * w(k) for k, v in b.items()) - inter
-            if (not a and not b) or (union and inter / union >= threshold):
+            plain = sum(min(a[k], b[k]) for k in a if k in b)
+            most = max(inter / union, plain / (sum(a.values()) + sum(b.values()) - plain)) if union else 0
+            if (not a and not b) or most >= threshold:
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
