@@ -1,9 +1,9 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
 A text is cut where its own content says so (a window of characters that matches a boundary class, between a
-least and a most length), so equal passages give equal chunks wherever they stand. A chunk's identifier is its
-SHA-256; a text's recipe is its ordered list of identifiers, a few hundredths of its length, and only recipes
-are shuffled. Identifiers of chunks in texts that would be called equal are verified by their bytes: those texts'
+least and a most length), so equal passages give equal chunks wherever they stand. A chunk's identifier is the
+head of its SHA-256; a text's recipe is its ordered list of identifiers, a few hundredths of its length, and only
+recipes are shuffled. Identifiers of chunks in texts that would be called equal are verified by their bytes: those texts'
 chunks are moved once, distinct ones at that, and any identifier that stands for two chunks is replaced by the
 chunk itself in the recipes it is in.
 
@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from .common import materialise, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Least and most characters of a chunk, and the three-character windows that end one: rarer than one in LEAST, so
+#: Least and most characters of a chunk, and the four-character windows that end one: rarer than one in LEAST, so
 #: that cuts fall into step again soon after an edit.
-LEAST, MOST, BOUNDARY = 96, 4096, "(?<=[dglst][ .,;\\n][aenow])"
+LEAST, MOST, BOUNDARY = 256, 4096, "(?<=[a-m][dlst][ .,;\\n][aow])"
+#: Bits of an identifier; equal ones are verified by their chunks' bytes.
+BITS = 128
 
 
 def normalise(text: Column) -> Column:
@@ -36,13 +38,13 @@ def chunks(text: Column, least: int = LEAST, most: int = MOST, boundary: str = B
     return F.regexp_extract_all(text, F.lit(f"(?s).{{{least},{most}}}?{boundary}|.{{1,{most}}}"), F.lit(0))
 
 
-def identifier(chunk: Column, bits: int = 256) -> Column:
-    """bits under 256 force collisions, for tests."""
+def identifier(chunk: Column, bits: int = BITS) -> Column:
+    """The first bits of the SHA-256; very few of them force collisions, for tests."""
     digest = F.sha2(chunk.cast("binary"), 256)
-    return F.unhex(digest if bits == 256 else F.substring(digest, 1, bits // 4))
+    return F.unhex(F.substring(digest, 1, bits // 4))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 256) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     source = docs.select(F.col(id_col).alias("doc_id"), normalise(F.col(text_col)).alias("norm"))
     recipes = materialise(
