@@ -48,9 +48,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a materialised table for broadcast if it was counted to be small, else leaves the join to shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, cells=None) -> DataFrame:
+    """Marks a materialised table for broadcast if it was counted to be small, else leaves the join to shuffle.
+
+    Rows are of fixed width, or `cells` tells how many values each row holds, and the limit is on those."""
+    if cells is None:
+        return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    held = df.agg(F.sum(cells)).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df
+
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:

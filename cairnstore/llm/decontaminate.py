@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small
+from .common import BROADCAST_ROWS, materialise, small
 
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 4, 6, 9, 10))
 WINDOW, AGREE = 13, 11
@@ -72,9 +72,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     places = seeds(texts.select("doc_id", tokens(F.col("text")).alias("toks")), "doc_id")
     hits = places.join(small(known.select("seed", "item_at", F.col("item.item_id").alias("item_id"))), "seed")
     hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    hits = hits.join(small(items), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "toks")).alias("cands"))
+    hits = hits.join(small(items, cells=F.size("toks") + 1), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "toks")).alias("cands"))
     hits = materialise(hits.withColumnRenamed("doc_id", "hit_id"), "hits")
-    found = texts.join(small(hits, 20_000), F.col("doc_id").eqNullSafe(F.col("hit_id")))
+    held = F.aggregate("cands", F.lit(1), lambda n, c: n + 2 + F.size(c["toks"]))
+    found = texts.join(small(hits, 10 * BROADCAST_ROWS, held), F.col("doc_id").eqNullSafe(F.col("hit_id")))
     seen = found.select("doc_id", F.explode(let(tokens(F.col("text")), lambda t: F.transform("cands", lambda c: _verify(t, c)))).alias("v"))
     best = seen.where("v.s.windows > 0").groupBy("doc_id", F.col("v.item_id").alias("item_id")).agg(F.max(F.struct("v.s.matched", "v.s.start", "v.s.end")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.col("b.matched").alias("matched"))

@@ -107,3 +107,22 @@ def _refine(sized: DataFrame, goal: DataFrame, shift: int, first: bool) -> DataF
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+  substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0 AS w FROM d GROUP BY source),
+r AS (SELECT *, CAST(3 * source_size AS DOUBLE) AS cap, row_number() OVER (ORDER BY 3 * source_size / w, source NULLS LAST) AS k FROM s),
+c AS (SELECT *, CAST(coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS kept,
+  CAST(sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS rest_w, (SELECT CAST(sum(size) AS DOUBLE) FROM d) AS total FROM r),
+l AS (SELECT (total - kept) / rest_w AS level FROM c WHERE (total - kept) / rest_w * w <= cap ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, CAST(least(cap, w * level) AS DOUBLE) AS target FROM c, l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(round(target) / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
+q AS (SELECT *, CAST(round(target) AS BIGINT) - passes * source_size AS rest FROM p),
+x AS (SELECT d.*, q.source_size, q.target, q.passes, q.rest, CAST(sum(size) OVER (PARTITION BY d.source, h) AS BIGINT) AS tie,
+  CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, CAST(passes * size + CASE WHEN upto <= rest THEN size WHEN upto - tie < rest THEN floor(CAST(size * (rest - (upto - tie)) AS DOUBLE) / tie) ELSE 0 END AS BIGINT) AS taken
+FROM x
+"""
