@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .names import codec_by_tag
+from .names import Codec, codec_by_tag
 
 #: Smallest and usual dictionary of an xz block.
 DICTIONARY = (4096, 1 << 20)
@@ -26,7 +26,7 @@ def dictionary_size(content: int) -> int:
 
 
 def pack(data: bytes, codec: str) -> bytes:
-    tag = bytes([{"none": 0, "gzip": 1, "lzma": 3, "snappy": 4, "deflate": 5, "lz4": 6, "lz4hc": 7}[codec]])
+    tag = bytes([Codec[codec].tag])
     if codec == "gzip":
         return tag + gzip.compress(data, mtime=0)
     if codec == "deflate":

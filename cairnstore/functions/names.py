@@ -8,11 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STAMP = "yyyy-MM-dd.HHmmss"
+#: Kinds of journal entries.
+START, STOP, FINISHED = "Start_Writing", "Stop_Writing", "File_Finished"
 
 
 class Codec(Enum):
     """Tag byte and relative cost of each codec; costs are our own ranks."""
 
+    # fixed values: names and tag bytes
     none = (0, 0)
     gzip = (1, 5)
     lzma = (3, 6)
@@ -89,11 +92,11 @@ def journal_line(kind: Column, file: Column, md5: Column) -> Column:
 
 def parse_journal(line: Column) -> Column:
     """struct(typ, file, md5); null if the length is wrong, the kind unknown or its fields are missing."""
-    clean = F.regexp_replace(line, "\r$", "")
-    size, rest = F.substring_index(clean, " ", 1), F.regexp_replace(clean, "^[^ ]* ?", "")
-    typ = F.substring_index(rest, " ", 1)
-    file = F.regexp_extract(rest, r"^File_Finished (.+) ([^ ]+)$", 1)
-    md5 = F.regexp_extract(rest, r"^File_Finished (.+) ([^ ]+)$", 2)
+    clean = F.rtrim(line, F.lit("\r"))
+    size = F.substring_index(clean, " ", 1)
+    rest = F.substring(clean, F.length(size) + 2, F.length(clean))
+    typ, md5 = F.substring_index(rest, " ", 1), F.substring_index(rest, " ", -1)
+    file = F.substring(rest, F.length(typ) + 2, F.length(rest) - F.length(typ) - F.length(md5) - 2)
     whole = size.try_cast("int") == F.length(rest) + 1
-    plain = rest.isin("Start_Writing", "Stop_Writing")
-    return F.when(whole & (plain | ((typ == "File_Finished") & (file != ""))), F.struct(typ.alias("typ"), F.when(~plain, file).alias("file"), F.when(~plain, md5).alias("md5")))
+    plain = rest.isin(START, STOP)
+    return F.when(whole & (plain | ((typ == FINISHED) & (F.length(file) > 0))), F.struct(typ.alias("typ"), F.when(~plain, file).alias("file"), F.when(~plain, md5).alias("md5")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Least and most bytes of a chunk and boundary bits: one bit more has to be zero.
+#: Least and most bytes of a chunk and boundary bits; one bit more has to be zero.
 LEAST, MOST, BITS = 128 << 10, 16 << 20, 19
 WINDOW = 64
 #: Space that a volume keeps free.

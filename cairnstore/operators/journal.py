@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import parse_journal
+from ..functions.names import FINISHED, START, journal_line, parse_journal
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """seq, value of a journal's lines; seq follows the order in the file."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), "value")
+
+
+def append(lines: DataFrame, path: str) -> None:
+    """Adds lines (typ, file, md5) as text, whole files at a time."""
+    lines.select(journal_line(F.col("typ"), F.col("file"), F.col("md5")).alias("value")).write.mode("append").text(path)
 
 
 def entries(lines: DataFrame) -> DataFrame:
@@ -15,18 +25,18 @@ def entries(lines: DataFrame) -> DataFrame:
 
 def finished(journal: DataFrame) -> DataFrame:
     """file, md5: of several entries for a file the first counts."""
-    return journal.where("typ = 'File_Finished'").groupBy("file").agg(F.min_by("md5", "seq").alias("md5"))
+    return journal.where(F.col("typ") == FINISHED).groupBy("file").agg(F.min_by("md5", "seq").alias("md5"))
 
 
 def unmentioned(on_disk: DataFrame, journal: DataFrame) -> DataFrame:
     """Files on disk that no entry finished: left by a crash, to be deleted."""
-    return on_disk.join(journal.where("typ = 'File_Finished'").select(F.col("file").alias("path")), "path", "left_anti")
+    return on_disk.join(journal.where(F.col("typ") == FINISHED).select(F.col("file").alias("path")), "path", "left_anti")
 
 
 def dirty(journal: DataFrame) -> bool:
     """Whether the last start or stop is a start: then nothing known is trusted."""
-    last = journal.where("typ <> 'File_Finished'").orderBy(F.desc("seq")).limit(1).collect()
-    return bool(last) and last[0].typ == "Start_Writing"
+    last = journal.where(F.col("typ") != FINISHED).orderBy(F.desc("seq")).limit(1).collect()
+    return bool(last) and last[0].typ == START
 
 
 def counters(events: DataFrame, seconds: int = 60) -> DataFrame:

@@ -440,3 +440,113 @@ def known_content(spark, sf):
     have = files(spark, sf).select(F.sha2(F.col("text").cast("binary"), 256).alias("hash")).distinct().withColumn("known", F.lit(True))
     items = table(spark, sf, "benchmark").select("item_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
     return items.join(have, "hash", "left").select("item_id", "hash", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+# set operations, ranges, whole paths through the engine
+
+
+@query(f"SELECT path, substr(text, 11, 20) AS piece, substr(text, greatest(length(text) - 9, 1)) AS tail FROM ({FILES}) f")
+def range_read(spark, sf):
+    last = F.greatest(F.length("text") - 9, F.lit(1))
+    return files(spark, sf).select("path", F.substring("text", 11, 20).alias("piece"), F.substring(F.col("text"), last, F.lit(10)).alias("tail"))
+
+
+@query(f"""SELECT path, max(v) AS v FROM (SELECT path, 1 AS v FROM ({KNOWN}) k UNION ALL SELECT path, 2 AS v FROM ({FILES}) f WHERE doc_id % 3 <> 0) u GROUP BY path""")
+def map_union(spark, sf):
+    old = known(spark, sf).select("path", F.lit(1).alias("v"))
+    return changes.latest(old.unionByName(files(spark, sf).where("doc_id % 3 <> 0").select("path", F.lit(2).alias("v"))).withColumn("batch_no", F.col("v"))).select("path", "v")
+
+
+@query(f"SELECT path FROM ({FILES}) f EXCEPT SELECT path FROM ({KNOWN}) k")
+def set_difference(spark, sf):
+    return files(spark, sf).select("path").subtract(known(spark, sf).select("path"))
+
+
+@query(f"SELECT path, 'file' AS kind, CAST(size AS BIGINT) AS size FROM ({FILES}) f UNION ALL SELECT DISTINCT '/' || source || '/' || lang, 'dir', CAST(0 AS BIGINT) FROM documents")
+def parts_union(spark, sf):
+    f = files(spark, sf)
+    folders = f.select(paths.parent(F.col("path")).alias("path"), F.lit(True).alias("is_folder")).distinct()
+    both = f.select("path", "size", F.lit(False).alias("is_folder")).unionByName(folders, allowMissingColumns=True)
+    return both.select("path", paths.kind(F.col("is_folder")).alias("kind"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+
+
+@query(f"""WITH c AS (SELECT file_id, bool_and(chunk_id % 50 <> 0) AS whole FROM ({EDGES}) e GROUP BY file_id)
+ SELECT CASE WHEN whole THEN 'write' ELSE 'keep' END AS part, count(*) AS files FROM c GROUP BY whole""")
+def checkpoint_split(spark, sf):
+    recipe = edges(spark, sf).groupBy("file_id").agg(F.collect_list("chunk_id").alias("hashes"))
+    store = table(spark, sf, "part").where("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("hash"))
+    part = audit.complete(recipe, store, "file_id").select(F.when(F.col("complete"), "write").otherwise("keep").alias("part"))
+    return part.groupBy("part").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT conv_id AS file_id, turn AS pos FROM conversations WHERE (conv_id + turn) % 17 = 0")
+def aligned_hashes(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("pos"), F.col("text").alias("content"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    saved = rows.select("file_id", "pos", F.when((F.col("file_id") + F.col("pos")) % 17 == 0, F.lit("damaged")).otherwise(digest(F.col("content"))).alias("hash"))
+    return audit.aligned(rows, saved, digest)
+
+
+@query(f"""WITH s AS (SELECT o_custkey AS c, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders)
+ SELECT CAST(pos AS INTEGER) AS pos, id, '/v/' || id AS path FROM s""")
+def snapshot_assembly(spark, sf):
+    orders = table(spark, sf, "orders")
+    ids = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("file_ids"))
+    versions = orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("/v/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return changes.assemble(ids, versions).select("pos", "id", "path")
+
+
+@query("SELECT event_type, CAST(sum(event_id) AS BIGINT) AS now, CAST(floor(count(*) * 100.0 / (SELECT count(*) FROM events)) AS INTEGER) AS percent FROM events GROUP BY event_type")
+def counter_percent(spark, sf):
+    events = table(spark, sf, "events")
+    total = events.agg(F.count(F.lit(1)).alias("total"))
+    rows = events.groupBy("event_type").agg(F.sum("event_id").alias("now"), F.count(F.lit(1)).alias("n")).join(F.broadcast(total))
+    return rows.select("event_type", "now", sizes.percent(F.col("n"), F.col("total")).alias("percent"))
+
+
+@query()
+def codec_ratios(spark, sf):
+    rows = files(spark, sf).select(F.col("lang").alias("ext"), F.col("text").cast("binary").alias("content")).withColumn("hash", F.sha2("content", 256)).withColumn("length", F.octet_length("content").cast("long"))
+    return policy.ratios(policy.tried(rows.where("length >= 2048"), ("none", "snappy", "lz4", "deflate")))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+@query(f"SELECT path, sha256(text) AS sha256, CAST(size AS BIGINT) AS size FROM ({FILES}) f")
+def repository_round_trip(spark, sf):
+    """Backs documents up in two runs and restores the newest snapshot."""
+    from ..repo import SnapshotRepo
+
+    repo = SnapshotRepo.open(spark, _scratch(spark), least=256, most=8192, bits=10, codec="deflate")
+    rows = files(spark, sf).select("path", "size", "mtime_ms", F.col("text").cast("binary").alias("content"))
+    repo.backup(rows.where("mtime_ms % 3000 <> 0"))
+    repo.backup(rows)
+    return repo.restore().select("path", F.sha2("content", 256).alias("sha256"), "size")
+
+
+@query(f"SELECT DISTINCT sha256(content) AS hash FROM ({PIECES}) p")
+def stream_chunks(spark, sf):
+    """Documents arrive as a stream; chunks that the store lacks are appended batch by batch."""
+    out = _scratch(spark)
+    schema = table(spark, sf, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+
+    def put(batch: DataFrame, number: int) -> None:
+        path = F.col("doc_id").cast("string").alias("path")
+        rows = dedup.hashed(chunking.fixed_chunks(batch.select(path, "text"), CHUNK, "text")).select("hash").distinct()
+        if number:
+            rows = rows.join(spark.read.schema("hash string").parquet(f"{out}/chunks"), "hash", "left_anti")
+        rows.write.mode("append").parquet(f"{out}/chunks")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("hash string").parquet(f"{out}/chunks")
