@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; a temporary one only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        own = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -41,10 +45,13 @@ class Shared:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: lineage ends at replicated storage."""
+    """Writes a table into the shared folder and reads it back: lineage ends at replicated storage. The table goes
+    when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
