@@ -52,7 +52,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "recipes",
     )
     shared = materialise(_shared(recipes), "shared-recipes")
-    twins = materialise(recipes.join(small(shared), "recipe", "left_semi").select(F.col("doc_id").alias("twin_id")).distinct(), "twins")
+    twins = materialise(recipes.join(small(shared, cells=F.size("recipe") + 2), "recipe", "left_semi").select(F.col("doc_id").alias("twin_id")).distinct(), "twins")
     pieces = (
         source.join(small(twins), F.col("doc_id").eqNullSafe(F.col("twin_id")), "left_semi")
         .select(F.explode(chunks(F.col("norm"))).alias("chunk"))

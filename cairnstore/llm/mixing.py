@@ -12,7 +12,7 @@ without any word get target 0 and are taken 0 words. Columns beside id, text and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialise, small
@@ -78,17 +78,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for k in range(1, ROUNDS + 1):
         goal = materialise(_refine(sized, goal, BITS * (ROUNDS - k), k == 1), f"thresholds-{k}")
     near = F.when(F.col("h") < F.col("low"), F.col("size")).when((F.col("h") == F.col("low")) & (F.col("tie") > 0), F.floor(F.col("size") * F.col("rest") / F.col("tie"))).otherwise(0)
-    joined = sized.alias("d").join(small(goal).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+    joined = sized.alias("d").join(small(goal, cells=_width()).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes") + near).cast("long").alias("taken"), F.col("d.source").alias("source"))
 
 
+def _width() -> Column:
+    """Values of 8 bytes that a source's row holds."""
+    return F.coalesce(F.octet_length("source"), F.lit(0)) / 8 + 6
+
+
 def _refine(sized: DataFrame, goal: DataFrame, shift: int, first: bool) -> DataFrame:
     """One round: the bucket of width 2^shift in which each source's rest runs out.
 
     low is the smallest hash not taken so far, rest the words still to take from the boundary bucket on, tie the
     words in that bucket.
     """
-    joined = sized.alias("d").join(small(goal).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("rest") > 0))
+    joined = sized.alias("d").join(small(goal, cells=_width()).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("rest") > 0))
     if not first:
         joined = joined.where((F.shiftright("h", shift + BITS) == F.shiftright("low", shift + BITS)))
     hist = joined.groupBy(F.col("t.source").alias("source"), F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))

@@ -23,8 +23,8 @@ from cairnstore.llm.toxicity import toxicity
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without those ids (a column gone)."""
-    gone = materialise(ids.distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    gone = small(materialise(ids.distinct(), "gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,14 @@ def test_stages(spark, tmp_path):
     assert clean == [i for i in near if i != 402]
     assert set(mix) <= set(clean) and len(mix) > 0.6 * len(clean)
     assert sorted(x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == mix
+
+
+def test_empty_and_clashing(spark, tmp_path):
+    shape = "doc_id long, text string, lang string, source string, n_chars long, gone long, kept boolean, score double, copies int"
+    for name, rows in (("none", []), ("some", [(1, "a b c", None, None, None, 1, True, 0.5, 3), (None, None, None, "s", None, None, None, None, None), (2, "A b c", "en", "s", 5, 2, False, 0.1, 1)])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, shape).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = sorted(str(x.doc_id) for x in corpus_pipeline.run(spark, d).collect())
+        assert got == ([] if name == "none" else ["2"])
