@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from importlib.metadata import entry_points
 
 from .sources.config import VERSION, check_options
 
@@ -41,8 +42,17 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def plugins() -> dict:
+    """Commands of other packages: entry points of the group `cairnstore.commands`, each a function of the
+    arguments and the session."""
+    return {e.name: e for e in entry_points(group="cairnstore.commands")}
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
-    args = parser().parse_args(argv)
+    words = sys.argv[1:] if argv is None else argv
+    if words and words[0] in (more := plugins()):
+        return more[words[0]].load()(words[1:], spark)
+    args = parser().parse_args(words)
     if args.command in (None, "help"):
         parser().print_help()
         return 0
