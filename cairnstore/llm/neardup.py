@@ -5,9 +5,10 @@ A text is the multiset of its five-word shingles. A shingle's weight is its coun
 fixed size. Each of 64 samples draws one shingle by improved consistent weighted sampling (Gamma(2,1) and uniform
 variates, the gammas by inverse distribution at 4096 points picked by the shingle's hash): two texts draw the
 same with a probability of their weighted Jaccard similarity. 16 bands of 4 samples find a pair of similarity 0.8
-with a probability of 0.9998. Texts that share a band are gathered by their candidate component, a large
-component in blocks so that each pair of blocks is a task, and there the weighted Jaccard similarity of all pairs
-is computed exactly, as matrix products; nothing but a spanning forest of the links leaves the task. Two texts are
+with a probability of 0.9998. Texts that share a band are gathered by their candidate component, and there the
+weighted Jaccard similarity is computed exactly, as matrix products; nothing but a spanning forest of the links
+leaves a task. A large component is compared in blocks first, then the hubs of its trees, and so on; pairs that are in
+one class by then need no look, and all others are compared, in pairs of blocks. Two texts are
 linked if their weighted Jaccard similarity reaches the threshold with these weights or with counts alone: in a
 large group the shared shingles weigh little, which must not lose a link. Classes are the connected components of
 links, named by their smallest id.
@@ -179,7 +180,8 @@ def _sign(idf):
 
 
 def _links(idf, threshold: float):
-    """Links within a block, or between two blocks: of all pairs over the threshold, a spanning forest."""
+    """Links within a block, or between two blocks: of all pairs over the threshold, a spanning forest. A link
+    goes from a text u to one nearer to the hub of its tree, the text of most links, so hubs are never u."""
 
     def linked(held, table):
         ids = [d for d, _, _ in held]
@@ -222,20 +224,17 @@ def _links(idf, threshold: float):
             both += m @ m.T
         jaccard = lambda inter, size: inter / np.maximum(size[:, None] + size[None, :] - inter, 1e-12)
         similar = np.maximum(jaccard(both, sizes), jaccard(shared, counts)) >= threshold - 1e-6
-        root = list(range(len(ids)))
-
-        def find(v):
-            while root[v] != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        mixed = len(set(side.tolist())) > 1
-        for i in range(len(ids)):
-            for j in np.flatnonzero(similar[i, :i]):
-                if (not mixed or side[i] != side[j]) and (a := find(i)) != (b := find(int(j))):
-                    root[a] = b
-                    yield ids[i], ids[int(j)]
+        if len(set(side.tolist())) > 1:
+            similar &= side[:, None] != side[None, :]
+        seen = np.zeros(len(ids), bool)
+        for hub in np.argsort(-similar.sum(1), kind="stable").tolist():
+            front = [] if seen[hub] else [hub]
+            seen[hub] = True
+            for i in front:
+                fresh = np.flatnonzero(similar[i] & ~seen)
+                seen[fresh] = True
+                front += fresh.tolist()
+                yield from ((ids[j], ids[i]) for j in fresh.tolist())
 
     def run(batches):
         at, held, table = None, [], idf.value
@@ -281,6 +280,52 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return label
 
 
+def _texts(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """members (v, rid and others) with their texts."""
+    members = members.withColumnRenamed("rid", "mrid")
+    return texts.join(small(members), (F.col("d") == F.col("v")) & (F.col("rid") == F.col("mrid")))
+
+
+def _tasks(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The texts of members (v, rid, task, side), those of a task together."""
+    held = _texts(texts, materialise(members, "tasks")).select("task", "d", "side", "text")
+    return held.repartition("task").sortWithinPartitions("task", "d")
+
+
+def _blocks(members: DataFrame, block: int, block_words: int, level: int) -> DataFrame:
+    """members (v, c, n, rid) with the number of blocks of their component and their own block b in it."""
+    total = members.groupBy("c").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("words"))
+    blocks = F.greatest(F.ceil(F.col("texts") / block), F.ceil(F.col("words") / block_words)).cast("int")
+    total = total.select("c", F.when((F.col("texts") <= 2 * block) & (F.col("words") <= 2 * block_words), 1).otherwise(blocks).alias("blocks"))
+    return members.join(total, "c").select("v", "c", "n", "rid", "blocks", F.pmod(F.xxhash64("v", F.lit(level)), F.col("blocks")).cast("int").alias("b"))
+
+
+def _unsettled(large: DataFrame, classes: DataFrame, block: int, block_words: int) -> DataFrame:
+    """v, rid, task, side: tasks that compare all pairs of a component that aren't yet in one class.
+
+    A class of a block or more has blocks of its own, smaller ones share blocks; two blocks meet unless both are
+    of one class, so a component that is one class costs nothing and a few texts beside a large class a pass over it.
+    """
+    held = large.join(classes.select("v", F.col("c").alias("k")), "v", "left").withColumn("k", F.coalesce("k", "v"))
+    held = materialise(held, "large-classes")
+    per = held.groupBy("c", "k").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("words"))
+    per = per.withColumn("own", F.when((F.col("texts") >= block) | (F.col("words") >= block_words), F.col("k")))
+    per = materialise(per, "class-sizes")
+    groups = per.groupBy("c", "own").agg(F.sum("texts").alias("texts"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("parts"))
+    many = F.greatest(F.ceil(F.col("texts") / block), F.ceil(F.col("words") / block_words)).cast("int")
+    groups = materialise(groups.select("c", "own", "parts", many.alias("blocks")), "class-blocks")
+    open_ = groups.groupBy("c").agg(F.sum("parts").alias("parts")).where("parts > 1").select("c")
+    spread = groups.join(open_, "c", "left_semi").select("c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    spread = materialise(spread.withColumn("side", F.xxhash64("own", "b")), "class-spread")
+    meet = spread.alias("x").join(spread.alias("y"), F.col("x.c") == F.col("y.c"))
+    meet = meet.where("NOT coalesce(x.own = y.own, false)").select(F.col("x.c").alias("c"), F.col("x.side").alias("side"), F.xxhash64("x.c", F.least("x.side", "y.side"), F.greatest("x.side", "y.side")).alias("task"))
+    mine = held.join(per.select("c", "k", "own"), ["c", "k"])
+    mine = mine.join(groups.select(F.col("c").alias("gc"), F.col("own").alias("go"), "blocks"), (F.col("c") == F.col("gc")) & F.col("own").eqNullSafe(F.col("go")))
+    spot = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("k")).otherwise(F.col("v"))), F.col("blocks")).cast("int")
+    mine = mine.select("v", "rid", "c", F.xxhash64("own", spot).alias("side"))
+    return mine.join(meet, ["c", "side"]).select("v", "rid", "task", "side")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest id of its class)."""
     spark = docs.sparkSession
@@ -297,17 +342,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidate = components(stars, "candidates")
     sizes = candidate.join(stand.groupBy(F.col("rep").alias("v")).agg(F.max("n").alias("n"), F.min("rep_rid").alias("rid")), "v")
     sizes = materialise(sizes, "candidate-sizes")
-    total = sizes.groupBy("c").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("words"))
-    blocks = F.greatest(F.ceil(F.col("texts") / block), F.ceil(F.col("words") / block_words)).cast("int")
-    total = materialise(total.select("c", F.when((F.col("texts") <= 2 * block) & (F.col("words") <= 2 * block_words), 1).otherwise(blocks).alias("blocks")), "blocks")
-    mine = sizes.join(total, "c").select("v", "rid", "c", "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("b"))
-    mine = materialise(mine, "members")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
-    held = texts.join(small(mine.withColumnRenamed("rid", "mrid")), (F.col("d") == F.col("v")) & (F.col("rid") == F.col("mrid")))
-    held = held.select("d", "text", "c", "b", F.explode(pairs).alias("p"))
-    tasks = held.select(F.xxhash64("c", "p.i", "p.j").alias("task"), "d", F.col("b").alias("side"), "text")
-    links = tasks.repartition("task").sortWithinPartitions("task", "d").mapInArrow(_links(idf, threshold), "u long, v long")
-    classes = components(materialise(links, "links"), "classes")
+    links = lambda texts, tasks, name: materialise(_tasks(texts, tasks).mapInArrow(_links(idf, threshold), "u long, v long"), name)
+    mine = materialise(_blocks(sizes, block, block_words, 0), "members")
+    found = links(texts, mine.select("v", "rid", F.xxhash64("c", "b").alias("task"), F.lit(0).alias("side")), "links")
+    large = materialise(mine.where("blocks > 1").select("v", "c", "n", "rid"), "large")
+    left = large.count()
+    if left:
+        texts = materialise(_texts(texts, large.select("v", "rid")).select("d", "rid", "text"), "large-texts")
+    hubs, last, level = large, found, 0
+    while left:
+        level += 1
+        hubs = materialise(hubs.join(last.select(F.col("u").alias("v")).distinct(), "v", "left_anti"), f"hubs-{level}")
+        before, left = left, hubs.count()
+        mine = materialise(_blocks(hubs, block, block_words, level), f"hub-blocks-{level}")
+        last = links(texts, mine.select("v", "rid", F.xxhash64("c", "b").alias("task"), F.lit(0).alias("side")), f"hub-links-{level}")
+        found = found.unionByName(last)
+        if 2 * left > before or not mine.where("blocks > 1").limit(1).count():
+            break
+    classes = components(found, "classes")
+    if level:
+        rest = materialise(_unsettled(large, classes, block, block_words), "unsettled")
+        if rest.limit(1).count():
+            found = found.unionByName(links(texts, rest, "rest-links"))
+            classes = components(found, "all-classes")
     named = stand.join(classes, F.col("rep") == F.col("v"), "left").select(*same, F.coalesce("c", "rep").alias("class"))
     named = materialise(named, "named")
     out = signed.select("d", *same).join(named, same)

@@ -96,3 +96,26 @@ def test_components(spark):
             root[u] = root[v] = min(root[u], root[v])
     got = {x.v: x.c for x in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {v: root[v] for e in edges if e[0] != e[1] for v in e}
+
+
+def test_large_group(spark):
+    """A group of many blocks beside texts that are candidates only: classes as of all pairs, a settled group at rest."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(1 if i < 70 else 5 if i < 80 else 3):
+            w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = classes(rows, neardup.idf_table(df.select("text")))
+    assert len(set(want.values())) > 1 and max(list(want.values()).count(c) for c in set(want.values())) > 60
+    got = {g.doc_id: g.class_id for g in neardup.near_classes(df, block=8).collect()}
+    assert got == want
+    large = spark.createDataFrame([(i, 0, 100, i) for i in range(40)], "v long, c long, n int, rid long")
+    one = spark.createDataFrame([(i, 0) for i in range(40)], "v long, c long")
+    assert neardup._unsettled(large, one, 8, 10**6).count() == 0
+    two = one.where("v < 39")
+    tasks = neardup._unsettled(large, two, 8, 10**6).groupBy("task").count().count()
+    assert tasks == 6  # five blocks of the class with the one left over, and that by itself
