@@ -90,13 +90,13 @@ def journal_line(kind: Column, file: Column, md5: Column) -> Column:
     return F.concat_ws(" ", (F.length(rest) + 1).cast("string"), rest)
 
 
+#: A line's length, what that counts, and the fields of it.
+LINE = rf"(?s)^([0-9]+) (({START}|{STOP}|{FINISHED})(?: (.+) ([^ ]*?))?)\r*\z"
+
+
 def parse_journal(line: Column) -> Column:
     """struct(typ, file, md5); null if the length is wrong, the kind unknown or its fields are missing."""
-    clean = F.rtrim(line, F.lit("\r"))
-    size = F.substring_index(clean, " ", 1)
-    rest = F.substring(clean, F.length(size) + 2, F.length(clean))
-    typ, md5 = F.substring_index(rest, " ", 1), F.substring_index(rest, " ", -1)
-    file = F.substring(rest, F.length(typ) + 2, F.length(rest) - F.length(typ) - F.length(md5) - 2)
-    whole = size.try_cast("int") == F.length(rest) + 1
-    plain = rest.isin(START, STOP)
-    return F.when(whole & (plain | ((typ == FINISHED) & (F.length(file) > 0))), F.struct(typ.alias("typ"), F.when(~plain, file).alias("file"), F.when(~plain, md5).alias("md5")))
+    size, rest, typ, file, md5 = (F.regexp_extract(line, LINE, i) for i in range(1, 6))
+    done = typ == FINISHED
+    whole = (size.try_cast("int") == F.length(rest) + 1) & (done == (file != ""))
+    return F.when(whole, F.struct(typ.alias("typ"), F.when(done, file).alias("file"), F.when(done, md5).alias("md5")))
