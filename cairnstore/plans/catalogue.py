@@ -246,7 +246,12 @@ def volume_offsets(spark, sf):
     return chunking.offsets(edges(spark, sf), order=["file_id", "pos"]).select("volume", "file_id", "pos", "start")
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS MATERIALIZED (SELECT volume AS lane, file_id * 1000 + pos AS ordinal, CAST(length AS BIGINT) AS length,
+  row_number() OVER (PARTITION BY volume ORDER BY file_id * 1000 + pos) AS rn FROM ({EDGES}) e),
+r AS (SELECT lane, ordinal, length, rn, 0 AS volume, CAST(0 AS BIGINT) AS start FROM o WHERE rn = 1
+  UNION ALL SELECT o.lane, o.ordinal, o.length, o.rn, CASE WHEN r.start + r.length > 0 AND r.start + r.length + o.length + 10 > 200 THEN r.volume + 1 ELSE r.volume END,
+  CASE WHEN r.start + r.length > 0 AND r.start + r.length + o.length + 10 > 200 THEN 0 ELSE r.start + r.length END FROM r JOIN o ON o.lane = r.lane AND o.rn = r.rn + 1)
+SELECT lane, ordinal, length, volume, start FROM r""")
 def volume_packing(spark, sf):
     rows = edges(spark, sf).select(F.col("volume").alias("lane"), (F.col("file_id") * 1000 + F.col("pos")).alias("ordinal"), "length")
     return chunking.pack_volumes(rows, 200, spare=10)
@@ -399,7 +404,9 @@ def codec_winner(spark, sf):
     return policy.choose(rows.dropDuplicates(["hash"]))
 
 
-@query()
+@query(f"""WITH p AS (SELECT path, string_agg(md5(unhex(substr(h, i * 2000 + 1, 2000))), '' ORDER BY i) AS sums, count(*) AS n
+ FROM (SELECT path, hex(encode(text)) AS h FROM ({FILES}) f) d, range(0, 100000) r(i) WHERE i < greatest(1, CAST(ceil(length(h) / 2000.0) AS BIGINT)) GROUP BY path)
+SELECT path, md5(unhex(sums)) || '-' || n AS etag, CASE WHEN sums IS NOT NULL THEN true END AS matches FROM p""")
 def etag_check(spark, sf):
     data = F.col("text").cast("binary")
     return files(spark, sf).select("path", hashing.etag(data, 1000).alias("etag"), hashing.etag_matches(data, hashing.etag(data, 2000), (1, 2, 4), 1000).alias("matches"))
