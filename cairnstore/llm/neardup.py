@@ -1,17 +1,23 @@
-"""MinHash near-deduplication by improved consistent weighted sampling over TF-IDF shingles.
+"""MinHash near-deduplication over TF-IDF shingles.
 
 A text is the multiset of its five-word shingles. A shingle's weight is its count times an idf in [1, 2],
-1 + log((1 + N) / (1 + df)) / log(1 + N), with df counted over all documents in 2^18 hashed bins, a table of
-fixed size. Each of 64 samples draws one shingle by improved consistent weighted sampling (Gamma(2,1) and uniform
-variates, the gammas by inverse distribution at 4096 points picked by the shingle's hash): two texts draw the
-same with a probability of their weighted Jaccard similarity. 16 bands of 4 samples find a pair of similarity 0.8
-with a probability of 0.9998. Texts that share a band are gathered by their candidate component, and there the
-weighted Jaccard similarity is computed exactly, as matrix products; nothing but a spanning forest of the links
-leaves a task. A large component is compared in blocks first, then the hubs of its trees, and so on; pairs that are in
-one class by then need no look, and all others are compared, in pairs of blocks. Two texts are
-linked if their weighted Jaccard similarity reaches the threshold with these weights or with counts alone: in a
-large group the shared shingles weigh little, which must not lose a link. Classes are the connected components of
-links, named by their smallest id.
+1 + log((1 + N) / (1 + df)) / log(1 + N), with df counted over all documents, exactly for each 64-bit shingle hash.
+Two texts are linked if their weighted Jaccard similarity reaches the threshold with these weights or with counts
+alone: in a large group the shared shingles weigh little, which must not lose a link. Classes are the connected
+components of links, named by their smallest id.
+
+Candidates are drawn by counts alone, so that signing needs no df: 160 samples, each the shingle of least hash, k equal
+shingles being k elements; two texts draw the same with a probability of their similarity by counts. As no shingle
+weighs more than twice another, a weighted similarity of 0.8 is one of 2/3 by counts at least; 40 bands of 4
+samples find a pair of 2/3 with a probability of 0.9998 (and one of 0.8 by counts all but surely). Texts that share a
+band are gathered by their candidate component, and there the weighted Jaccard similarity is computed exactly, as
+matrix products; nothing but a spanning forest of the links leaves a task. A large component is compared in blocks
+first, then the hubs of its trees, and so on; pairs that are in one class by then need no look, and all others are
+compared, in pairs of blocks.
+
+Document frequencies: tasks count the shingles of many documents, cut the sorted hashes into ranges and send each
+range to its own task, which sums them; there groups of candidate texts ask for their shingles and are told those
+of a df over 1. So a shingle that all documents have costs an entry a batch, and no table of all shingles is held.
 
 Copies (texts with the same shingles) are one text in all this, so thousands of copies cost no more than one.
 
@@ -29,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, materialise, slices, small
+from .common import materialise, slices, small
 from .words import mix, shingles, words
 
-GRAM, BANDS, ROWS, THRESHOLD = 5, 16, 4, 0.8
-#: Hashed bins of document frequencies, in so many parts of a row each.
-BINS, PARTS = 1 << 18, 64
+GRAM, BANDS, ROWS, THRESHOLD = 5, 40, 4, 0.8
+#: Words of all texts to a range of shingle hashes, words of candidates to a group, shingles counted before they are sent.
+RANGE_WORDS, GROUP_WORDS, COUNTED = 2_000_000, 500_000, 1 << 20
 #: Texts and words of a block of a large component.
 BLOCK, BLOCK_WORDS = 256, 1_000_000
 LAST = (1 << 63) - 1
@@ -68,44 +74,179 @@ def texts_of(batch: pa.RecordBatch):
 
 
 def _bins(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(20)).astype(np.int64) & (BINS - 1)
+    """What a shingle's df is counted by: its whole hash."""
+    return x
 
 
-def _count(batches):
-    df, n = np.zeros(BINS, np.int64), 0
-    for batch in slices(batches):
-        for _, _, x, _ in texts_of(batch):
-            n += 1
-            if len(x):
-                np.add.at(df, _bins(x), 1)
-    if n:
-        rows = df.reshape(PARTS, -1)
-        yield pa.record_batch([pa.array(range(PARTS + 1), pa.int32()), pa.array([*(r.tobytes() for r in rows), np.array([n]).tobytes()], pa.binary())], ["part", "counts"])
+def _ranges(x: np.ndarray, parts: int):
+    """(range, begin, end) of sorted hashes, for the ranges that are there."""
+    p = ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+    yield from zip(p[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(p)], strict=False)
 
 
-def _add(batches):
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            x = np.frombuffer(counts, np.int64)
-            held[part] = held[part] + x if part in held else x
-    yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "counts"])
+def _sum(x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, with the sums of their counts."""
+    order = np.argsort(x, kind="stable")
+    x, counts = x[order], counts[order]
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[start], np.add.reduceat(counts, start) if len(x) else counts
+
+
+#: Hashes with their counts on the way to a range (grp null) or a group's question there, and the answers.
+SENT = "p int, grp long, h binary, c binary"
+
 
+def _sent(rows: list) -> pa.RecordBatch:
+    p, grp, h, c = zip(*rows, strict=True) if rows else ((),) * 4
+    columns = [pa.array(p, pa.int32()), pa.array(grp, pa.int64()), pa.array([y.tobytes() for y in h], pa.binary()), pa.array([y.tobytes() for y in c], pa.binary())]
+    return pa.record_batch(columns, ["p", "grp", "h", "c"])
 
-def idf_table(texts: DataFrame) -> np.ndarray:
-    """BINS idfs, from counts over all documents; what comes to the driver is BINS numbers."""
-    shape = "part int, counts binary"
-    summed = texts.select("text").mapInArrow(_count, shape).repartition("part").mapInArrow(_add, shape).collect()
-    found = {r.part: np.frombuffer(r.counts, np.int64) for r in summed}
-    if not found:
-        return np.ones(BINS)
-    n = int(found[PARTS][0])
-    df = np.concatenate([found[i] for i in range(PARTS)])
-    return 1 + np.log((1 + n) / (1 + np.minimum(df, n))) / math.log(1 + n)
+
+def _count(parts: int):
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            x, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return _sent([(p, None, x[a:b], counts[a:b].astype(np.int64)) for p, a, b in _ranges(x, parts)])
+
+        for batch in slices(batches):
+            for _, _, x, _ in texts_of(batch):
+                held.append(x)
+                size += len(x)
+                if size >= COUNTED:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _ask(parts: int):
+    """The distinct shingles of each group of texts, as questions to the ranges."""
+
+    def run(batches):
+        at, held = None, []
+
+        def flush():
+            x = np.unique(np.concatenate(held))
+            held.clear()
+            return _sent([(p, at, x[a:b], x[:0]) for p, a, b in _ranges(x, parts)])
+
+        for batch in slices(batches):
+            groups = batch.column("grp").to_pylist()
+            for i, _, x, _ in texts_of(batch):
+                if groups[i] != at:
+                    if held:
+                        yield flush()
+                    at = groups[i]
+                held.append(x)
+        if held:
+            yield flush()
+
+    return run
+
+
+def _answer(batches):
+    """Of each range, in the order of range and questions last: the shingles of a df over 1, to each group that asks."""
+    at, xs, cs, known = None, [], [], None
+    for batch in batches:
+        out = []
+        for p, grp, h, c in zip(*(batch.column(k).to_pylist() for k in ("p", "grp", "h", "c")), strict=True):
+            if p != at:
+                at, xs, cs, known = p, [], [], None
+            x = np.frombuffer(h, np.uint64)
+            if grp is None:
+                xs.append(x)
+                cs.append(np.frombuffer(c, np.int64))
+                continue
+            if known is None:
+                u, n = _sum(np.concatenate(xs), np.concatenate(cs))
+                known, xs, cs = (u[n > 1], n[n > 1]), [], []
+            u, n = known
+            if len(u):
+                spot = np.minimum(np.searchsorted(u, x), len(u) - 1)
+                hit = u[spot] == x
+                if hit.any():
+                    out.append((p, grp, x[hit], n[spot[hit]]))
+        yield _sent(out)
+
+
+def _weigh(batches):
+    """Texts with the dfs of their distinct shingles; a group's answers come before its texts."""
+    at, xs, cs, known = None, [], [], None
+    for batch in batches:
+        out = []
+        for grp, d, rid, text, h, c in zip(*(batch.column(k).to_pylist() for k in ("grp", "d", "rid", "text", "h", "c")), strict=True):
+            if grp != at:
+                at, xs, cs, known = grp, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
+            if h is not None:
+                xs.append(np.frombuffer(h, np.uint64))
+                cs.append(np.frombuffer(c, np.int64))
+                continue
+            if known is None:
+                x, n = np.concatenate(xs), np.concatenate(cs)
+                x, first = np.unique(x, return_index=True)
+                known = x, n[first]
+            one = pa.record_batch([pa.array([text], pa.large_string())], ["text"])
+            out.append((d, rid, text, _df(known, next(texts_of(one))[2]).tobytes()))
+        d, rid, text, df = zip(*out, strict=True) if out else ((),) * 4
+        yield pa.record_batch([pa.array(d, pa.int64()), pa.array(rid, pa.int64()), pa.array(text, pa.string()), pa.array(df, pa.binary())], ["d", "rid", "text", "df"])
+
+
+def _df(known: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Document frequencies of shingles: as known, else 1."""
+    u, n = known
+    if not len(u):
+        return np.ones(len(x), np.int64)
+    spot = np.minimum(np.searchsorted(u, x), len(u) - 1)
+    return np.where(u[spot] == x, n[spot], 1)
+
+
+def weight_of(df: np.ndarray, n: int) -> np.ndarray:
+    """The idf of shingles found in df of n documents."""
+    return 1 + np.log((1 + n) / (1 + df)) / math.log(1 + n)
+
+
+def weighed(texts: DataFrame, members: DataFrame, words_of_all: int) -> DataFrame:
+    """d, rid, text, df: the texts of members (v, rid, n) and the exact df, over all texts, of their distinct shingles."""
+    parts = max(1, -(-words_of_all // RANGE_WORDS))
+    groups = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // GROUP_WORDS))
+    mine = _texts(texts, members.select("v", "rid")).select(F.pmod(F.xxhash64("d", "rid"), F.lit(groups)).alias("grp"), "d", "rid", "text")
+    mine = materialise(mine.repartition(min(groups, 1 << 15), "grp").sortWithinPartitions("grp"), "member-texts")
+    sent = texts.select("text").mapInArrow(_count(parts), SENT).unionByName(mine.select("grp", "text").mapInArrow(_ask(parts), SENT))
+    sent = sent.repartition(min(parts, 1 << 15), "p").sortWithinPartitions("p", F.col("grp").asc_nulls_first())
+    told = materialise(sent.mapInArrow(_answer, SENT), "frequencies")
+    empty = lambda kind: F.lit(None).cast(kind)
+    both = told.select("grp", empty("long").alias("d"), empty("long").alias("rid"), empty("string").alias("text"), "h", "c")
+    both = both.unionByName(mine.select("*", empty("binary").alias("h"), empty("binary").alias("c")))
+    both = both.repartition(min(groups, 1 << 15), "grp").sortWithinPartitions("grp", F.col("d").asc_nulls_first())
+    return materialise(both.mapInArrow(_weigh, "d long, rid long, text string, df binary"), "weighed")
+
+
+class Idf:
+    """Weights by shingle hash, for tables of one machine."""
+
+    def __init__(self, known: tuple[np.ndarray, np.ndarray], n: int) -> None:
+        self.known, self.n = known, n
+
+    def __getitem__(self, x):
+        found = weight_of(_df(self.known, np.atleast_1d(np.asarray(x, np.uint64))), self.n)
+        return found if np.ndim(x) else found[0]
+
+
+def idf_table(texts: DataFrame) -> Idf:
+    """All weights at the driver: to look at tables of one machine, near_classes does not use it."""
+    rows = texts.select("text").mapInArrow(_count(1), SENT).collect()
+    x = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.h, np.uint64) for r in rows)])
+    return Idf(_sum(x, np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.c, np.int64) for r in rows)])), texts.count())
 
 
 class Sampler:
-    """Improved consistent weighted sampling of many sets at once."""
+    """Samples of many sets at once: by counts, or by any weights (improved consistent weighted sampling)."""
 
     def __init__(self) -> None:
         r = gamma_quantiles()
@@ -143,66 +284,85 @@ class Sampler:
             out[:, band] = key
         return out
 
+    def counted(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A row of band hashes for each set of elements, all of one weight: each sample is the least of their hashes."""
+        start = np.cumsum(size) - size
+        out = np.zeros((len(size), BANDS), np.uint64)
+        z, high = np.empty_like(x), np.empty_like(x)
+        for band in range(BANDS):
+            key = np.full(len(size), band + 1, np.uint64)
+            for row in range(ROWS):
+                np.multiply(x, self.keys[band * ROWS + row], out=z)
+                np.right_shift(z, np.uint64(32), out=high)
+                z ^= high
+                z *= np.uint64(0xD6E8FEB86659FD93)
+                key = mix(key ^ np.minimum.reduceat(z, start)) + np.uint64(1)
+            out[:, band] = key
+        return out
 
-#: Elements sampled at once: their arrays fit a processor's cache.
-CHUNK = 1 << 15
 
+def elements(x: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """The k-th of equal shingles is an element of its own."""
+    if len(x) == tf.sum():
+        return x
+    k = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+    y = np.repeat(x, tf)
+    return np.where(k > 0, mix(y + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), y)
 
-def _sign(idf):
-    def run(batches):
-        sampler, weights = Sampler(), idf.value
-        for batch in slices(batches):
-            rows = batch.num_rows
-            n, low, high = (np.zeros(rows, np.int64) for _ in range(3))
-            bands = np.zeros((rows, BANDS), np.uint64)
-            held: list = []
-
-            def flush():
-                x, tf = (np.concatenate([y[c] for y in held]) for c in (1, 2))
-                bands[[y[0] for y in held]] = sampler.bands(x, tf * weights[_bins(x)], np.array([len(y[1]) for y in held]))  # noqa: B023
-                held.clear()  # noqa: B023
-
-            for i, size, x, tf in texts_of(batch):
-                n[i] = size
-                if size:
-                    low[i] = (mix(x) * tf.astype(np.uint64)).sum().view(np.int64)
-                    high[i] = (mix(x ^ np.uint64(0x5851F42D4C957F2D)) * mix(tf.astype(np.uint64))).sum().view(np.int64)
-                    held.append((i, x, tf))
-                    if sum(len(y[1]) for y in held) >= CHUNK:
-                        flush()
-            if held:
-                flush()
-            signed = bands.view(np.int64).tolist()
-            made = pa.array([b if k else [] for b, k in zip(signed, n.tolist(), strict=True)], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column("d"), batch.column("rid"), pa.array(n), pa.array(low), pa.array(high), made], ["d", "rid", "n", "low", "high", "bands"])
 
-    return run
+#: Elements sampled at once: their arrays fit a processor's cache.
+CHUNK = 1 << 15
 
 
-def _links(idf, threshold: float):
+def _sign(batches):
+    sampler = Sampler()
+    for batch in slices(batches):
+        rows = batch.num_rows
+        n, low, high = (np.zeros(rows, np.int64) for _ in range(3))
+        bands = np.zeros((rows, BANDS), np.uint64)
+        held: list = []
+
+        def flush():
+            bands[[y[0] for y in held]] = sampler.counted(np.concatenate([y[1] for y in held]), np.array([len(y[1]) for y in held]))  # noqa: B023
+            held.clear()  # noqa: B023
+
+        for i, size, x, tf in texts_of(batch):
+            n[i] = size
+            if size:
+                low[i] = (mix(x) * tf.astype(np.uint64)).sum().view(np.int64)
+                high[i] = (mix(x ^ np.uint64(0x5851F42D4C957F2D)) * mix(tf.astype(np.uint64))).sum().view(np.int64)
+                held.append((i, elements(x, tf)))
+                if sum(len(y[1]) for y in held) >= CHUNK:
+                    flush()
+        if held:
+            flush()
+        signed = bands.view(np.int64).tolist()
+        made = pa.array([b if k else [] for b, k in zip(signed, n.tolist(), strict=True)], pa.list_(pa.int64()))
+        yield pa.record_batch([batch.column("d"), batch.column("rid"), pa.array(n), pa.array(low), pa.array(high), made], ["d", "rid", "n", "low", "high", "bands"])
+
+
+def _links(documents: int, threshold: float):
     """Links within a block, or between two blocks: of all pairs over the threshold, a spanning forest. A link
     goes from a text u to one nearer to the hub of its tree, the text of most links, so hubs are never u."""
 
-    def linked(held, table):
-        ids = [d for d, _, _ in held]
-        side = np.array([s for _, s, _ in held])
-        elements, owner, tf_all = [], [], []
-        batch = pa.record_batch([pa.array([t for _, _, t in held], pa.large_string())], ["text"])
+    def linked(held):
+        ids = [d for d, _, _, _ in held]
+        side = np.array([s for _, s, _, _ in held])
+        parts, owner, tf_all = [], [], []
+        batch = pa.record_batch([pa.array([t for _, _, t, _ in held], pa.large_string())], ["text"])
         sizes, counts = np.zeros(len(ids)), np.zeros(len(ids))
         done = 0
         for part in slices(iter([batch])):
             for i, _, x, tf in texts_of(part):
-                weight = table[_bins(x)]
+                weight = weight_of(np.frombuffer(held[done + i][3], np.int64), documents)
                 sizes[done + i], counts[done + i] = float((weight * tf).sum()), float(tf.sum())
-                k = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)  # the k-th of equal shingles is an element of its own
-                y = np.repeat(x, tf)
-                elements.append(np.where(k > 0, mix(y + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), y))
+                parts.append(elements(x, tf))
                 tf_all.append(np.repeat(weight, tf))
-                owner.append(np.full(len(y), done + i))
+                owner.append(np.full(len(parts[-1]), done + i))
             done += part.num_rows
-        if not elements:
+        if not parts:
             return
-        e, o, wt = np.concatenate(elements), np.concatenate(owner), np.concatenate(tf_all)
+        e, o, wt = np.concatenate(parts), np.concatenate(owner), np.concatenate(tf_all)
         order = np.argsort(e, kind="stable")
         e, o, wt = e[order], o[order], wt[order]
         start = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
@@ -237,16 +397,16 @@ def _links(idf, threshold: float):
                 yield from ((ids[j], ids[i]) for j in fresh.tolist())
 
     def run(batches):
-        at, held, table = None, [], idf.value
+        at, held = None, []
         for batch in batches:
             out = []
-            for key, d, s, t in zip(*(batch.column(c).to_pylist() for c in ("task", "d", "side", "text")), strict=True):
+            for key, d, s, t, f in zip(*(batch.column(c).to_pylist() for c in ("task", "d", "side", "text", "df")), strict=True):
                 if key != at:
-                    out += linked(held, table) if len(held) > 1 else ()
+                    out += linked(held) if len(held) > 1 else ()
                     at, held = key, []
-                held.append((d, s, t or ""))
+                held.append((d, s, t or "", f))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
-        out = list(linked(held, table)) if len(held) > 1 else []
+        out = list(linked(held)) if len(held) > 1 else []
         yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
 
     return run
@@ -288,7 +448,7 @@ def _texts(texts: DataFrame, members: DataFrame) -> DataFrame:
 
 def _tasks(texts: DataFrame, members: DataFrame) -> DataFrame:
     """The texts of members (v, rid, task, side), those of a task together."""
-    held = _texts(texts, materialise(members, "tasks")).select("task", "d", "side", "text")
+    held = _texts(texts, materialise(members, "tasks")).select("task", "d", "side", "text", "df")
     return held.repartition("task").sortWithinPartitions("task", "d")
 
 
@@ -328,11 +488,9 @@ def _unsettled(large: DataFrame, classes: DataFrame, block: int, block_words: in
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest id of its class)."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("rid"), "text")
-    idf = Shared(spark, idf_table(texts))
-    signed = materialise(texts.mapInArrow(_sign(idf), "d long, rid long, n long, low long, high long, bands array<long>"), "signed")
+    signed = materialise(texts.mapInArrow(_sign, "d long, rid long, n long, low long, high long, bands array<long>"), "signed")
     # copies: one of each stands for all, and one text for each id
     same = ["n", "low", "high"]
     stand = materialise(signed.groupBy(*same).agg(F.min(F.struct("d", "rid")).alias("s"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")).select(*same, F.col("s.d").alias("rep"), F.col("s.rid").alias("rep_rid"), "bands"), "stand-ins")
@@ -342,13 +500,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidate = components(stars, "candidates")
     sizes = candidate.join(stand.groupBy(F.col("rep").alias("v")).agg(F.max("n").alias("n"), F.min("rep_rid").alias("rid")), "v")
     sizes = materialise(sizes, "candidate-sizes")
-    links = lambda texts, tasks, name: materialise(_tasks(texts, tasks).mapInArrow(_links(idf, threshold), "u long, v long"), name)
+    documents, all_words = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    texts = weighed(texts, sizes, all_words)
+    links = lambda texts, tasks, name: materialise(_tasks(texts, tasks).mapInArrow(_links(documents, threshold), "u long, v long"), name)
     mine = materialise(_blocks(sizes, block, block_words, 0), "members")
     found = links(texts, mine.select("v", "rid", F.xxhash64("c", "b").alias("task"), F.lit(0).alias("side")), "links")
     large = materialise(mine.where("blocks > 1").select("v", "c", "n", "rid"), "large")
     left = large.count()
     if left:
-        texts = materialise(_texts(texts, large.select("v", "rid")).select("d", "rid", "text"), "large-texts")
+        texts = materialise(_texts(texts, large.select("v", "rid")).select("d", "rid", "text", "df"), "large-texts")
     hubs, last, level = large, found, 0
     while left:
         level += 1

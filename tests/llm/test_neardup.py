@@ -119,3 +119,29 @@ def test_large_group(spark):
     two = one.where("v < 39")
     tasks = neardup._unsettled(large, two, 8, 10**6).groupBy("task").count().count()
     assert tasks == 6  # five blocks of the class with the one left over, and that by itself
+
+
+def saturated():
+    """A pair of 0.715 by counts and over 0.8 by TF-IDF, among so many shingles that hashed bins would fill up."""
+    r = random.Random(9)
+    run = lambda n: [f"x{r.randrange(10**12)}" for _ in range(n)]
+    shared, one, two = run(720), run(140), run(140)
+    rows = [(1, " ".join(one + shared)), (2, " ".join(two + shared))]
+    return rows + [(10 + i, " ".join((one if i < 200 else two) + run(4000))) for i in range(400)]
+
+
+def test_exact_frequencies(spark, monkeypatch):
+    rows = saturated()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {}
+    for _, t in rows:
+        for k in set(next(neardup.texts_of(pa.record_batch([pa.array([t], pa.large_string())], ["text"])))[2].tolist()):
+            found[k] = found.get(k, 0) + 1
+    idf, n = neardup.idf_table(df), len(rows)
+    keys = np.array(list(found), np.uint64)
+    want = 1 + np.log((1 + n) / (1 + np.array(list(found.values())))) / np.log(1 + n)
+    assert np.abs(idf[neardup._bins(keys)] - want).max() < 1e-9
+    monkeypatch.setattr(neardup, "RANGE_WORDS", 300_000, raising=False)
+    monkeypatch.setattr(neardup, "GROUP_WORDS", 500, raising=False)
+    got = {g.doc_id: g.class_id for g in neardup.near_classes(df).collect()}
+    assert got == {i: 1 if i == 2 else i for i, _ in rows}
