@@ -22,8 +22,8 @@ of a df over 1. So a shingle that all documents have costs an entry a batch, and
 Copies (texts with the same shingles) are one text in all this, so thousands of copies cost no more than one.
 
 Defined results: null texts are empty; texts without words are one class; a text of one to four words is a single
-shingle; a null id counts as the largest and is given back as null; rows with the same id are one document, of the
-first by hash; an empty table gives an empty result. Columns beside id and text are left alone.
+shingle; a null id counts as the largest and is given back as null; every row is judged by its own text, whatever
+rows share its id; an empty table gives an empty result. Columns beside id and text are left alone.
 """
 
 from __future__ import annotations
@@ -211,11 +211,15 @@ def weight_of(df: np.ndarray, n: int) -> np.ndarray:
     return 1 + np.log((1 + n) / (1 + df)) / math.log(1 + n)
 
 
-def weighed(texts: DataFrame, members: DataFrame, words_of_all: int) -> DataFrame:
-    """d, rid, text, df: the texts of members (v, rid, n) and the exact df, over all texts, of their distinct shingles."""
+def weighed(texts: DataFrame, members: DataFrame, words_of_all: int, repeated: bool) -> DataFrame:
+    """d, rid, text, df: vertex, text hash and text of members (v, lead, rid, n) and the exact df, over all texts, of their
+    distinct shingles. repeated: rows of texts may agree in id and text."""
     parts = max(1, -(-words_of_all // RANGE_WORDS))
     groups = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // GROUP_WORDS))
-    mine = _texts(texts, members.select("v", "rid")).select(F.pmod(F.xxhash64("d", "rid"), F.lit(groups)).alias("grp"), "d", "rid", "text")
+    chosen = small(members.select("v", "lead", F.col("rid").alias("mrid")))
+    mine = texts.join(chosen, (F.col("d") == F.col("lead")) & (F.col("rid") == F.col("mrid")))
+    mine = mine.select(F.pmod(F.xxhash64("v"), F.lit(groups)).alias("grp"), F.col("v").alias("d"), "rid", "text")
+    mine = mine.dropDuplicates(["d"]) if repeated else mine
     mine = materialise(mine.repartition(min(groups, 1 << 15), "grp").sortWithinPartitions("grp"), "member-texts")
     sent = texts.select("text").mapInArrow(_count(parts), SENT).unionByName(mine.select("grp", "text").mapInArrow(_ask(parts), SENT))
     sent = sent.repartition(min(parts, 1 << 15), "p").sortWithinPartitions("p", F.col("grp").asc_nulls_first())
@@ -486,22 +490,25 @@ def _unsettled(large: DataFrame, classes: DataFrame, block: int, block_words: in
     return mine.join(meet, ["c", "side"]).select("v", "rid", "task", "side")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the smallest id of its class)."""
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per row of docs: d (its id, LAST for null), rid (xxhash64 of its text), and those of the least row of
+    its class, class_d and class_rid."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("rid"), "text")
     signed = materialise(texts.mapInArrow(_sign, "d long, rid long, n long, low long, high long, bands array<long>"), "signed")
-    # copies: one of each stands for all, and one text for each id
+    # copies: one of each stands for all, as a vertex of its own
     same = ["n", "low", "high"]
-    stand = materialise(signed.groupBy(*same).agg(F.min(F.struct("d", "rid")).alias("s"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")).select(*same, F.col("s.d").alias("rep"), F.col("s.rid").alias("rep_rid"), "bands"), "stand-ins")
+    stand = signed.groupBy(*same).agg(F.min(F.struct("d", "rid")).alias("s"), F.first("bands").alias("bands"))
+    stand = materialise(stand.select(*same, F.xxhash64(*same).alias("rep"), F.col("s.d").alias("lead"), F.col("s.rid").alias("rid"), "bands"), "stand-ins")
     rows = stand.select("rep", F.posexplode("bands").alias("band", "h"))
     least = rows.groupBy("band", "h").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).where("v < top").drop("top")
     stars = rows.join(materialise(least, "buckets"), ["band", "h"]).where("rep <> v").select(F.col("rep").alias("u"), "v")
     candidate = components(stars, "candidates")
-    sizes = candidate.join(stand.groupBy(F.col("rep").alias("v")).agg(F.max("n").alias("n"), F.min("rep_rid").alias("rid")), "v")
+    sizes = candidate.join(stand.select(F.col("rep").alias("v"), "n", "lead", "rid"), "v")
     sizes = materialise(sizes, "candidate-sizes")
     documents, all_words = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    texts = weighed(texts, sizes, all_words)
+    repeated = signed.groupBy("d", "rid").count().where("count > 1").limit(1).count() > 0
+    texts = weighed(texts, sizes, all_words, repeated)
     links = lambda texts, tasks, name: materialise(_tasks(texts, tasks).mapInArrow(_links(documents, threshold), "u long, v long"), name)
     mine = materialise(_blocks(sizes, block, block_words, 0), "members")
     found = links(texts, mine.select("v", "rid", F.xxhash64("c", "b").alias("task"), F.lit(0).alias("side")), "links")
@@ -525,11 +532,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if rest.limit(1).count():
             found = found.unionByName(links(texts, rest, "rest-links"))
             classes = components(found, "all-classes")
-    named = stand.join(classes, F.col("rep") == F.col("v"), "left").select(*same, F.coalesce("c", "rep").alias("class"))
-    named = materialise(named, "named")
-    out = signed.select("d", *same).join(named, same)
+    placed = materialise(stand.join(classes, F.col("rep") == F.col("v")).select("c", "lead", "rid"), "placed")
+    heads = materialise(placed.groupBy("c").agg(F.min(F.struct("lead", "rid")).alias("head")), "heads")
+    named = stand.join(classes, F.col("rep") == F.col("v"), "left").join(small(heads), "c", "left")
+    named = named.select(*same, F.coalesce("head.lead", "lead").alias("class_d"), F.when(F.col("head").isNull(), F.col("rid")).otherwise(F.col("head.rid")).alias("class_rid"))
+    return signed.select("d", "rid", *same).join(materialise(named, "named"), same).select("d", "rid", "class_d", "class_rid")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the smallest id of its class)."""
     null = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return out.select(null("d").alias("doc_id"), null("class").alias("class_id"))
+    rows = near_rows(docs, id_col, text_col, threshold, block, block_words)
+    return rows.select(null("d").alias("doc_id"), null("class_d").alias("class_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

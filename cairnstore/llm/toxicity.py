@@ -206,21 +206,27 @@ def _score(index):
                 who, cos = x.nearest(at[lo:hi], x.vector(at[lo:hi], tf[lo:hi]))
                 scores[i] = x.score(x.vote(who, cos))
                 why[i] = [{"doc_id": x.ids[w], "cosine": c, "toxic": int(x.y[w])} for w, c in zip(who[:EVIDENCE].tolist(), cos[:EVIDENCE].tolist(), strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(scores), pa.array(why, EVIDENCE_TYPE)], ["doc_id", "score", "evidence"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), pa.array(scores), pa.array(why, EVIDENCE_TYPE)], ["doc_id", "rid", "score", "evidence"])
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, features: int = FEATURES) -> DataFrame:
-    """doc_id, held_out, score, predicted and evidence (nearest examples, cosines, labels) of every row."""
+def scored_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, features: int = FEATURES) -> DataFrame:
+    """The columns of toxicity and rid, the xxhash64 of the text scored."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     index = fit(texts, labels.select(F.col(id_col).cast("long").alias("doc_id"), "toxic"), examples, features)
+    texts = texts.withColumn("rid", F.xxhash64("text"))
     if isinstance(index, float):
-        scored = texts.select("doc_id", F.lit(index).alias("score"), F.array().cast("array<struct<doc_id:long,cosine:double,toxic:int>>").alias("evidence"))
+        scored = texts.select("doc_id", "rid", F.lit(index).alias("score"), F.array().cast("array<struct<doc_id:long,cosine:double,toxic:int>>").alias("evidence"))
     else:
         sent = Shared(docs.sparkSession, index)
-        scored = texts.mapInArrow(_score(sent), "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"), "evidence")
+        scored = texts.mapInArrow(_score(sent), "doc_id long, rid long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    return scored.select("doc_id", "rid", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"), "evidence")
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, features: int = FEATURES) -> DataFrame:
+    """doc_id, held_out, score, predicted and evidence (nearest examples, cosines, labels) of every row."""
+    return scored_rows(docs, labels, id_col, text_col, examples, features).drop("rid")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,54 +4,78 @@ toxicity: documents predicted toxic go. exact_dedup: of equal texts one row stay
 class stays. decontaminate: documents that leak a benchmark item go. mix: documents that the mix takes, with the
 words it takes of each.
 
-A stage that drops documents joins them with its operator's ids; where one id has several rows, what is decided
-for the id holds for all of them, and exact_dedup leaves one row for each id it keeps.
+A row's key is its id with the hash of its text, so rows that share an id (or have none) are judged one by one: a
+stage joins its operator's keys of rows to drop. Rows that agree in id and text agree in every decision; the two
+stages of deduplication leave one of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnstore.llm.common import materialise, small
 from cairnstore.llm.decontaminate import leaks
 from cairnstore.llm.exact import exact_groups
 from cairnstore.llm.mixing import mix
-from cairnstore.llm.neardup import near_classes
-from cairnstore.llm.toxicity import toxicity
+from cairnstore.llm.neardup import LAST, near_rows
+from cairnstore.llm.toxicity import scored_rows
+
+
+def _rid(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (a row's key: its id and the hash of its text) and text."""
+    return docs.select(F.struct(docs["doc_id"].alias("d"), _rid(docs).alias("rid")).alias("doc_id"), docs["text"].alias("text"))
+
+
+def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the rows of materialised keys (d, rid)."""
+    keys = small(keys)
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["d"]) & (_rid(docs) == keys["rid"]), how)
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return _joined(docs, materialise(keys.distinct(), "gone"), "left_anti")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without those ids (a column gone)."""
-    gone = small(materialise(ids.distinct(), "gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs with one row of each key of keys (d, rid), those of rows that agree in id and text."""
+    keys = materialise(keys, "repeated")
+    if not keys.limit(1).count():
+        return docs
+    several, rid = _joined(docs, keys, "left_semi"), f"rid-{uuid.uuid4().hex}"
+    one = several.withColumn(rid, _rid(several)).dropDuplicates(["doc_id", rid]).drop(rid)
+    return _joined(docs, keys, "left_anti").unionByName(one)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.where("predicted = 1").select(F.col("doc_id").alias("gone")))
+    scored = scored_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, scored.where("predicted = 1").select(F.col("doc_id").alias("d"), "rid"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = materialise(exact_groups(docs), "groups")
-    kept = docs
-    if groups.where("kept = false").limit(1).count():
-        same = groups.groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("kept"), F.count(F.lit(1)).alias("n"))
-        same = materialise(same, "ids")
-        kept = _without(docs, same.where("kept = 0").select(F.col("doc_id").alias("gone")))
-        if same.where("kept = 1 AND n > 1").limit(1).count():
-            kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    groups = materialise(exact_groups(_keyed(docs)), "groups")
+    if not groups.where("kept = false").limit(1).count():
+        return docs
+    same = groups.select("doc_id.d", "doc_id.rid", "kept").groupBy("d", "rid").agg(F.max(F.col("kept").cast("int")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    same = materialise(same, "keys")
+    return _once(_without(docs, same.where("kept = 0").select("d", "rid")), same.where("kept = 1 AND n > 1").select("d", "rid"))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_classes(docs)
-    return _without(docs, classes.where("NOT doc_id <=> class_id").select(F.col("doc_id").alias("gone")))
+    rows = near_rows(docs).withColumn("kept", F.expr("d = class_d AND rid = class_rid"))
+    same = materialise(rows.groupBy(F.expr(f"nullif(d, {LAST})").alias("d"), "rid", "kept").agg(F.count(F.lit(1)).alias("n")), "near-keys")
+    return _once(_without(docs, same.where("NOT kept").select("d", "rid")), same.where("kept AND n > 1").select("d", "rid"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select(F.col("doc_id").alias("gone")))
+    found = leaks(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.select("doc_id.d", "doc_id.rid"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

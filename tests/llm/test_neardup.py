@@ -145,3 +145,14 @@ def test_exact_frequencies(spark, monkeypatch):
     monkeypatch.setattr(neardup, "GROUP_WORDS", 500, raising=False)
     got = {g.doc_id: g.class_id for g in neardup.near_classes(df).collect()}
     assert got == {i: 1 if i == 2 else i for i, _ in rows}
+
+
+def test_shared_ids(spark):
+    """Near copies are found among all texts of one id, not only that of the first."""
+    r = random.Random(4)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(90)] for _ in range(6)]
+    rows = [(i, " ".join(b)) for i in (5, None) for b in (base[:3] if i else base[3:])]
+    rows += [(10 + k, " ".join(["new", *b[1:]])) for k, b in enumerate(base)]
+    got = neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(5, 5)] * 3 + [(10, 5), (11, 5), (12, 5)] + [(None, 13), (None, 14), (None, 15)] + [(13, 13), (14, 14), (15, 15)]
+    assert sorted(map(str, ((g.doc_id, g.class_id) for g in got))) == sorted(map(str, want))

@@ -44,3 +44,32 @@ def test_empty_and_clashing(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
         got = sorted(str(x.doc_id) for x in corpus_pipeline.run(spark, d).collect())
         assert got == ([] if name == "none" else ["2"])
+
+
+def test_shared_ids(spark, tmp_path):
+    """Rows that share an id, or have none, are judged one by one."""
+    r = random.Random(3)
+    word = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+    item, near = word(30), word(60)
+    changed = " ".join(["other", *near.split()[1:]])
+    fixed = {i: [word(60) for _ in range(6)] for i in (700, None)}
+    rows, labels = [], []
+    for i in range(200):
+        bad = i % 5 == 0
+        rows.append((i, word(60) + (" vile rotten" if bad else "")))
+        labels.append((i, 1, int(bad)))
+    rows += [(600, near), (650, fixed[700][0].upper()), (650, fixed[700][1])]
+    for i, t in fixed.items():
+        rows += [(i, x) for x in t] + [(i, t[2]), (i, word(40) + " vile rotten"), (i, word(20) + " " + item + " " + word(9))]
+    rows += [(700, changed), (None, changed + " more")]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(*x, "en", "s", 0) for x in rows], shape).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)), name)
+    got = [(x.doc_id, x.text) for x in docs.collect() if x.doc_id is None or x.doc_id >= 600]
+    want = [(600, near), *((i, x) for i, t in fixed.items() for x in t)]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(got) == order(want)
