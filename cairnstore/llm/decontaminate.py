@@ -72,7 +72,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     places = seeds(texts.select("doc_id", tokens(F.col("text")).alias("toks")), "doc_id")
     hits = places.join(small(known.select("seed", "item_at", F.col("item.item_id").alias("item_id"))), "seed")
     hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    hits = hits.join(small(items, cells=F.size("toks") + 1), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "toks")).alias("cands"))
+    listed = small(items.withColumnRenamed("item_id", "known_id"), cells=F.size("toks") + 1)
+    hits = hits.join(listed, F.col("item_id").eqNullSafe(F.col("known_id"))).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "toks")).alias("cands"))
     hits = materialise(hits.withColumnRenamed("doc_id", "hit_id"), "hits")
     held = F.aggregate("cands", F.lit(1), lambda n, c: n + 2 + F.size(c["toks"]))
     found = texts.join(small(hits, 10 * BROADCAST_ROWS, held), F.col("doc_id").eqNullSafe(F.col("hit_id")))

@@ -177,3 +177,11 @@ def test_chat(spark):
         assert all(s.start >= len("<|end|>\n".join(head)) for s in w.loss)
     assert many > 20
     assert chat.read_back(chat.format_windows(table(spark, [], TURNS))).collect() == []
+
+
+def test_leak_of_null_item(spark):
+    """An item with a null id is an item like others."""
+    item = " ".join(f"word{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "before " + item + " after"), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (7, " ".join(f"else{i}" for i in range(20)))], "item_id long, text string")
+    assert [(x.doc_id, x.item_id, x.matched) for x in decontaminate.leaks(docs, bench).collect()] == [(1, None, 20)]
