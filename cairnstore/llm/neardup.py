@@ -40,7 +40,9 @@ from .words import mix, shingles, words
 
 GRAM, BANDS, ROWS, THRESHOLD = 5, 40, 4, 0.8
 #: Words of all texts to a range of shingle hashes, words of candidates to a group, shingles counted before they are sent.
-RANGE_WORDS, GROUP_WORDS, COUNTED = 2_000_000, 500_000, 1 << 20
+RANGE_WORDS, GROUP_WORDS, COUNTED = 400_000, 500_000, 1 << 20
+#: Most tasks that ranges or groups are dealt over.
+MOST_TASKS = 1 << 13
 #: Texts and words of a block of a large component.
 BLOCK, BLOCK_WORDS = 256, 1_000_000
 LAST = (1 << 63) - 1
@@ -93,13 +95,31 @@ def _sum(x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[start], np.add.reduceat(counts, start) if len(x) else counts
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit values by byte planes, so that compression finds the upper bytes, which are mostly 0."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _values(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Sorted hashes as their differences."""
+    return _planes(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.cumsum(_values(b), dtype=np.uint64)
+
+
 #: Hashes with their counts on the way to a range (grp null) or a group's question there, and the answers.
 SENT = "p int, grp long, h binary, c binary"
 
 
 def _sent(rows: list) -> pa.RecordBatch:
     p, grp, h, c = zip(*rows, strict=True) if rows else ((),) * 4
-    columns = [pa.array(p, pa.int32()), pa.array(grp, pa.int64()), pa.array([y.tobytes() for y in h], pa.binary()), pa.array([y.tobytes() for y in c], pa.binary())]
+    columns = [pa.array(p, pa.int32()), pa.array(grp, pa.int64()), pa.array([_pack(y) for y in h], pa.binary()), pa.array([_planes(y) for y in c], pa.binary())]
     return pa.record_batch(columns, ["p", "grp", "h", "c"])
 
 
@@ -158,10 +178,10 @@ def _answer(batches):
         for p, grp, h, c in zip(*(batch.column(k).to_pylist() for k in ("p", "grp", "h", "c")), strict=True):
             if p != at:
                 at, xs, cs, known = p, [], [], None
-            x = np.frombuffer(h, np.uint64)
+            x = _unpack(h)
             if grp is None:
                 xs.append(x)
-                cs.append(np.frombuffer(c, np.int64))
+                cs.append(_values(c).view(np.int64))
                 continue
             if known is None:
                 u, n = _sum(np.concatenate(xs), np.concatenate(cs))
@@ -184,8 +204,8 @@ def _weigh(batches):
             if grp != at:
                 at, xs, cs, known = grp, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
             if h is not None:
-                xs.append(np.frombuffer(h, np.uint64))
-                cs.append(np.frombuffer(c, np.int64))
+                xs.append(_unpack(h))
+                cs.append(_values(c).view(np.int64))
                 continue
             if known is None:
                 x, n = np.concatenate(xs), np.concatenate(cs)
@@ -220,14 +240,14 @@ def weighed(texts: DataFrame, members: DataFrame, words_of_all: int, repeated: b
     mine = texts.join(chosen, (F.col("d") == F.col("lead")) & (F.col("rid") == F.col("mrid")))
     mine = mine.select(F.pmod(F.xxhash64("v"), F.lit(groups)).alias("grp"), F.col("v").alias("d"), "rid", "text")
     mine = mine.dropDuplicates(["d"]) if repeated else mine
-    mine = materialise(mine.repartition(min(groups, 1 << 15), "grp").sortWithinPartitions("grp"), "member-texts")
+    mine = materialise(mine.repartition(min(groups, MOST_TASKS), "grp").sortWithinPartitions("grp"), "member-texts")
     sent = texts.select("text").mapInArrow(_count(parts), SENT).unionByName(mine.select("grp", "text").mapInArrow(_ask(parts), SENT))
-    sent = sent.repartition(min(parts, 1 << 15), "p").sortWithinPartitions("p", F.col("grp").asc_nulls_first())
+    sent = sent.repartition(min(parts, MOST_TASKS), "p").sortWithinPartitions("p", F.col("grp").asc_nulls_first())
     told = materialise(sent.mapInArrow(_answer, SENT), "frequencies")
     empty = lambda kind: F.lit(None).cast(kind)
     both = told.select("grp", empty("long").alias("d"), empty("long").alias("rid"), empty("string").alias("text"), "h", "c")
     both = both.unionByName(mine.select("*", empty("binary").alias("h"), empty("binary").alias("c")))
-    both = both.repartition(min(groups, 1 << 15), "grp").sortWithinPartitions("grp", F.col("d").asc_nulls_first())
+    both = both.repartition(min(groups, MOST_TASKS), "grp").sortWithinPartitions("grp", F.col("d").asc_nulls_first())
     return materialise(both.mapInArrow(_weigh, "d long, rid long, text string, df binary"), "weighed")
 
 
@@ -245,8 +265,8 @@ class Idf:
 def idf_table(texts: DataFrame) -> Idf:
     """All weights at the driver: to look at tables of one machine, near_classes does not use it."""
     rows = texts.select("text").mapInArrow(_count(1), SENT).collect()
-    x = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.h, np.uint64) for r in rows)])
-    return Idf(_sum(x, np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.c, np.int64) for r in rows)])), texts.count())
+    x = np.concatenate([np.zeros(0, np.uint64), *(_unpack(r.h) for r in rows)])
+    return Idf(_sum(x, np.concatenate([np.zeros(0, np.int64), *(_values(r.c).view(np.int64) for r in rows)])), texts.count())
 
 
 class Sampler:

@@ -156,3 +156,13 @@ def test_shared_ids(spark):
     got = neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(5, 5)] * 3 + [(10, 5), (11, 5), (12, 5)] + [(None, 13), (None, 14), (None, 15)] + [(13, 13), (14, 14), (15, 15)]
     assert sorted(map(str, ((g.doc_id, g.class_id) for g in got))) == sorted(map(str, want))
+
+
+def test_candidates_by_counts():
+    """Pairs of 2/3 by counts, the least that a link can have, share a band; so do those whose frequent shingles agree."""
+    sampler, rng, missed = neardup.Sampler(), np.random.default_rng(2), 0
+    for _ in range(2000):
+        x = mix(rng.integers(0, 2**62, 60, dtype=np.uint64))
+        m = sampler.counted(np.concatenate([x[:50], x[10:]]), np.array([50, 50]))
+        missed += not (m[0] == m[1]).any()
+    assert missed <= 3
