@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows that may be broadcast; a larger side is joined through a shuffle.
@@ -66,6 +66,37 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, cells=None) -> DataFrame:
 
 
 
+#: Most bits of a sieve: 64 MB, sent as rows of 4 KB.
+SIEVE_BITS, SIEVE_ROW = 1 << 29, 1 << 15
+
+
+def sieved(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column name: false for rows whose key (a 64-bit hash) surely is none of column key of
+    keys, a materialised table. A Bloom filter of one hash and bounded size; true may be wrong, false is never."""
+    wanted = 32 * max(keys.count(), 1)
+    bits = min(max(SIEVE_ROW, 1 << wanted.bit_length()), SIEVE_BITS)
+    spot = F.pmod(keys["key"], F.lit(bits))
+    maps = keys.select(F.floor(spot / SIEVE_ROW).alias(f"{name}_row"), (spot % SIEVE_ROW).alias("bit"))
+    maps = maps.groupBy(f"{name}_row").agg(F.bitmap_construct_agg("bit").alias(f"{name}_map"))
+    at = F.pmod(key, F.lit(bits))
+    df = df.withColumn(name, at)
+    df = df.join(F.broadcast(maps), F.floor(df[name] / SIEVE_ROW) == F.col(f"{name}_row"), "left").drop(f"{name}_row")
+    bit = df[name] % SIEVE_ROW
+    byte = F.conv(F.hex(F.substring(F.col(f"{name}_map"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return df.withColumn(name, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop(f"{name}_map")
+
+
+def matching(df: DataFrame, keys: DataFrame, on: list[str], limit: int | None = None) -> DataFrame:
+    """df joined with keys, a materialised table, on columns without nulls. Many keys: only rows that pass a sieve are
+    shuffled."""
+    limit = BROADCAST_ROWS if limit is None else limit
+    if keys.limit(limit + 1).count() <= limit:
+        return df.join(F.broadcast(keys), on)
+    name = f"sieve-{uuid.uuid4().hex}"
+    kept = sieved(df, F.xxhash64(*on), keys.select(F.xxhash64(*on).alias("key")), name)
+    return kept.where(F.col(f"`{name}`")).drop(name).join(keys, on)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about SLICE_BYTES of text, or one row; null texts become empty."""
     for batch in batches:

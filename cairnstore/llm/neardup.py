@@ -1,23 +1,21 @@
-"""MinHash near-deduplication over TF-IDF shingles.
-
-A text is the multiset of its five-word shingles. A shingle's weight is its count times an idf in [1, 2],
-1 + log((1 + N) / (1 + df)) / log(1 + N), with df counted over all documents, exactly for each 64-bit shingle hash.
-Two texts are linked if their weighted Jaccard similarity reaches the threshold with these weights or with counts
-alone: in a large group the shared shingles weigh little, which must not lose a link. Classes are the connected
-components of links, named by their smallest id.
-
-Candidates are drawn by counts alone, so that signing needs no df: 160 samples, each the shingle of least hash, k equal
-shingles being k elements; two texts draw the same with a probability of their similarity by counts. As no shingle
-weighs more than twice another, a weighted similarity of 0.8 is one of 2/3 by counts at least; 40 bands of 4
-samples find a pair of 2/3 with a probability of 0.9998 (and one of 0.8 by counts all but surely). Texts that share a
-band are gathered by their candidate component, and there the weighted Jaccard similarity is computed exactly, as
-matrix products; nothing but a spanning forest of the links leaves a task. A large component is compared in blocks
-first, then the hubs of its trees, and so on; pairs that are in one class by then need no look, and all others are
-compared, in pairs of blocks.
-
-Document frequencies: tasks count the shingles of many documents, cut the sorted hashes into ranges and send each
-range to its own task, which sums them; there groups of candidate texts ask for their shingles and are told those
-of a df over 1. So a shingle that all documents have costs an entry a batch, and no table of all shingles is held.
+"""MinHash near-deduplication: improved consistent weighted sampling over TF-IDF shingles.
+
+A text is the multiset of its five-word shingles. A shingle weighs its count times an idf in [1, 2],
+1 + ln(N / df) / ln(N / floor) for a document frequency df over the floor, 2 up to it. The floor is SHARE of all
+(text, distinct shingle) pairs: what fewer texts share counts as rare, whatever the size of the corpus. Two texts are
+linked if their weighted Jaccard similarity reaches the threshold. Classes are the connected components of links,
+named by their smallest id.
+
+Document frequencies over the floor are exact, over all documents. At most 1/SHARE shingles have one, and a shingle
+that has holds half the floor's share of some block of texts, so two passes find them: the first counts
+each block by itself and sends on what reaches half the share there (at most 2/SHARE shingles can still be over the
+floor by the sums of these), the second counts those in all texts. So what is broadcast has a bound that
+does not grow with the corpus.
+
+Candidates: BANDS * ROWS consistent weighted samples in BANDS bands; two texts of a weighted similarity of 0.8 share a
+band with a probability of 0.9996. Texts of small candidate components are gathered and compared as matrix products,
+those of a large one in blocks, then the hubs of their trees, and so on; what is not in one class by then is
+compared within each bucket of a band, in pairs of blocks. Nothing but a spanning forest of the links leaves a task.
 
 Copies (texts with the same shingles) are one text in all this, so thousands of copies cost no more than one.
 
@@ -35,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, small
+from .common import Shared, materialise, matching, slices, small
 from .words import mix, shingles, words
 
-GRAM, BANDS, ROWS, THRESHOLD = 5, 40, 4, 0.8
-#: Words of all texts to a range of shingle hashes, words of candidates to a group, shingles counted before they are sent.
-RANGE_WORDS, GROUP_WORDS, COUNTED = 400_000, 500_000, 1 << 20
-#: Most tasks that ranges or groups are dealt over.
-MOST_TASKS = 1 << 13
+GRAM, BANDS, ROWS, THRESHOLD = 5, 20, 5, 0.8
+#: The share of all (text, distinct shingle) pairs from which on a shingle's document frequency lowers its weight.
+SHARE = 2.0**-16
+#: Pairs counted as one block, and bytes of text to a task that counts.
+COUNTED, TASK_BYTES = 1 << 22, 24 << 20
 #: Texts and words of a block of a large component.
 BLOCK, BLOCK_WORDS = 256, 1_000_000
 LAST = (1 << 63) - 1
@@ -75,202 +73,98 @@ def texts_of(batch: pa.RecordBatch):
             yield i, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
-def _bins(x: np.ndarray) -> np.ndarray:
-    """What a shingle's df is counted by: its whole hash."""
-    return x
-
-
-def _ranges(x: np.ndarray, parts: int):
-    """(range, begin, end) of sorted hashes, for the ranges that are there."""
-    p = ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
-    yield from zip(p[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(p)], strict=False)
-
-
-def _sum(x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, sorted, with the sums of their counts."""
-    order = np.argsort(x, kind="stable")
-    x, counts = x[order], counts[order]
-    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return x[start], np.add.reduceat(counts, start) if len(x) else counts
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """64-bit values by byte planes, so that compression finds the upper bytes, which are mostly 0."""
-    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _values(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def _blocks_of(batches):
+    """Distinct shingles of many texts, in blocks of COUNTED: sorted shingles, their texts, texts of the block."""
+    held, size, n = [], 0, 0
+    for batch in slices(batches):
+        for _, _, x, _ in texts_of(batch):
+            held.append(x)
+            size += len(x)
+            n += 1
+            if size >= COUNTED:
+                yield *np.unique(np.concatenate(held), return_counts=True), size, n
+                held, size, n = [], 0, 0
+    if held:
+        yield *np.unique(np.concatenate(held), return_counts=True), size, n
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Sorted hashes as their differences."""
-    return _planes(np.diff(x, prepend=np.uint64(0)))
+def _common_in_blocks(share: float):
+    """h, df, pairs: what has half the share of a block, with the block's pairs; h null: its texts and pairs."""
 
+    def run(batches):
+        for x, df, pairs, texts in _blocks_of(batches):
+            some = df >= max(1.0, share * pairs / 2)
+            h = pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(x[some].view(np.int64))])
+            yield pa.record_batch([h, pa.array(np.concatenate([[texts], df[some]])), pa.array(np.full(len(h), pairs))], ["h", "df", "pairs"])
 
-def _unpack(b: bytes) -> np.ndarray:
-    return np.cumsum(_values(b), dtype=np.uint64)
+    return run
 
 
-#: Hashes with their counts on the way to a range (grp null) or a group's question there, and the answers.
-SENT = "p int, grp long, h binary, c binary"
+class Places:
+    """Looks 64-bit hashes up in a sorted list."""
 
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.may = np.zeros(1 << 20, bool)
+        self.may[(keys >> np.uint64(44)).astype(np.int64)] = True
 
-def _sent(rows: list) -> pa.RecordBatch:
-    p, grp, h, c = zip(*rows, strict=True) if rows else ((),) * 4
-    columns = [pa.array(p, pa.int32()), pa.array(grp, pa.int64()), pa.array([_pack(y) for y in h], pa.binary()), pa.array([_planes(y) for y in c], pa.binary())]
-    return pa.record_batch(columns, ["p", "grp", "h", "c"])
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of x are in the list, and where there."""
+        maybe = np.flatnonzero(self.may[(x >> np.uint64(44)).astype(np.int64)])
+        at = np.searchsorted(self.keys, x[maybe])
+        hit = self.keys[np.minimum(at, len(self.keys) - 1)] == x[maybe] if len(self.keys) else np.zeros(0, bool)
+        return maybe[hit], at[hit]
 
 
-def _count(parts: int):
+def _count(places):
     def run(batches):
-        held, size = [], 0
-
-        def flush():
-            x, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return _sent([(p, None, x[a:b], counts[a:b].astype(np.int64)) for p, a, b in _ranges(x, parts)])
-
+        at = places.value
+        df = np.zeros(len(at.keys), np.int64)
         for batch in slices(batches):
             for _, _, x, _ in texts_of(batch):
-                held.append(x)
-                size += len(x)
-                if size >= COUNTED:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
+                df[at(x)[1]] += 1
+        some = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(some), pa.array(df[some])], ["place", "df"])
 
     return run
 
 
-def _ask(parts: int):
-    """The distinct shingles of each group of texts, as questions to the ranges."""
+class Weights:
+    """The idf of every shingle: those of common shingles are listed, all others weigh 2."""
 
-    def run(batches):
-        at, held = None, []
-
-        def flush():
-            x = np.unique(np.concatenate(held))
-            held.clear()
-            return _sent([(p, at, x[a:b], x[:0]) for p, a, b in _ranges(x, parts)])
-
-        for batch in slices(batches):
-            groups = batch.column("grp").to_pylist()
-            for i, _, x, _ in texts_of(batch):
-                if groups[i] != at:
-                    if held:
-                        yield flush()
-                    at = groups[i]
-                held.append(x)
-        if held:
-            yield flush()
+    def __init__(self, keys: np.ndarray, df: np.ndarray, texts: int, floor: float) -> None:
+        over = df > floor
+        self.at = Places(keys[over])
+        self.weight = 1 + np.log(texts / df[over]) / math.log(texts / floor) if over.any() else np.zeros(0)
 
-    return run
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), 2.0)
+        hit, at = self.at(x)
+        out[hit] = self.weight[at]
+        return out
 
 
-def _answer(batches):
-    """Of each range, in the order of range and questions last: the shingles of a df over 1, to each group that asks."""
-    at, xs, cs, known = None, [], [], None
-    for batch in batches:
-        out = []
-        for p, grp, h, c in zip(*(batch.column(k).to_pylist() for k in ("p", "grp", "h", "c")), strict=True):
-            if p != at:
-                at, xs, cs, known = p, [], [], None
-            x = _unpack(h)
-            if grp is None:
-                xs.append(x)
-                cs.append(_values(c).view(np.int64))
-                continue
-            if known is None:
-                u, n = _sum(np.concatenate(xs), np.concatenate(cs))
-                known, xs, cs = (u[n > 1], n[n > 1]), [], []
-            u, n = known
-            if len(u):
-                spot = np.minimum(np.searchsorted(u, x), len(u) - 1)
-                hit = u[spot] == x
-                if hit.any():
-                    out.append((p, grp, x[hit], n[spot[hit]]))
-        yield _sent(out)
-
-
-def _weigh(batches):
-    """Texts with the dfs of their distinct shingles; a group's answers come before its texts."""
-    at, xs, cs, known = None, [], [], None
-    for batch in batches:
-        out = []
-        for grp, d, rid, text, h, c in zip(*(batch.column(k).to_pylist() for k in ("grp", "d", "rid", "text", "h", "c")), strict=True):
-            if grp != at:
-                at, xs, cs, known = grp, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
-            if h is not None:
-                xs.append(_unpack(h))
-                cs.append(_values(c).view(np.int64))
-                continue
-            if known is None:
-                x, n = np.concatenate(xs), np.concatenate(cs)
-                x, first = np.unique(x, return_index=True)
-                known = x, n[first]
-            one = pa.record_batch([pa.array([text], pa.large_string())], ["text"])
-            out.append((d, rid, text, _df(known, next(texts_of(one))[2]).tobytes()))
-        d, rid, text, df = zip(*out, strict=True) if out else ((),) * 4
-        yield pa.record_batch([pa.array(d, pa.int64()), pa.array(rid, pa.int64()), pa.array(text, pa.string()), pa.array(df, pa.binary())], ["d", "rid", "text", "df"])
-
-
-def _df(known: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Document frequencies of shingles: as known, else 1."""
-    u, n = known
-    if not len(u):
-        return np.ones(len(x), np.int64)
-    spot = np.minimum(np.searchsorted(u, x), len(u) - 1)
-    return np.where(u[spot] == x, n[spot], 1)
-
-
-def weight_of(df: np.ndarray, n: int) -> np.ndarray:
-    """The idf of shingles found in df of n documents."""
-    return 1 + np.log((1 + n) / (1 + df)) / math.log(1 + n)
-
-
-def weighed(texts: DataFrame, members: DataFrame, words_of_all: int, repeated: bool) -> DataFrame:
-    """d, rid, text, df: vertex, text hash and text of members (v, lead, rid, n) and the exact df, over all texts, of their
-    distinct shingles. repeated: rows of texts may agree in id and text."""
-    parts = max(1, -(-words_of_all // RANGE_WORDS))
-    groups = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // GROUP_WORDS))
-    chosen = small(members.select("v", "lead", F.col("rid").alias("mrid")))
-    mine = texts.join(chosen, (F.col("d") == F.col("lead")) & (F.col("rid") == F.col("mrid")))
-    mine = mine.select(F.pmod(F.xxhash64("v"), F.lit(groups)).alias("grp"), F.col("v").alias("d"), "rid", "text")
-    mine = mine.dropDuplicates(["d"]) if repeated else mine
-    mine = materialise(mine.repartition(min(groups, MOST_TASKS), "grp").sortWithinPartitions("grp"), "member-texts")
-    sent = texts.select("text").mapInArrow(_count(parts), SENT).unionByName(mine.select("grp", "text").mapInArrow(_ask(parts), SENT))
-    sent = sent.repartition(min(parts, MOST_TASKS), "p").sortWithinPartitions("p", F.col("grp").asc_nulls_first())
-    told = materialise(sent.mapInArrow(_answer, SENT), "frequencies")
-    empty = lambda kind: F.lit(None).cast(kind)
-    both = told.select("grp", empty("long").alias("d"), empty("long").alias("rid"), empty("string").alias("text"), "h", "c")
-    both = both.unionByName(mine.select("*", empty("binary").alias("h"), empty("binary").alias("c")))
-    both = both.repartition(min(groups, MOST_TASKS), "grp").sortWithinPartitions("grp", F.col("d").asc_nulls_first())
-    return materialise(both.mapInArrow(_weigh, "d long, rid long, text string, df binary"), "weighed")
-
-
-class Idf:
-    """Weights by shingle hash, for tables of one machine."""
-
-    def __init__(self, known: tuple[np.ndarray, np.ndarray], n: int) -> None:
-        self.known, self.n = known, n
-
-    def __getitem__(self, x):
-        found = weight_of(_df(self.known, np.atleast_1d(np.asarray(x, np.uint64))), self.n)
-        return found if np.ndim(x) else found[0]
-
-
-def idf_table(texts: DataFrame) -> Idf:
-    """All weights at the driver: to look at tables of one machine, near_classes does not use it."""
-    rows = texts.select("text").mapInArrow(_count(1), SENT).collect()
-    x = np.concatenate([np.zeros(0, np.uint64), *(_unpack(r.h) for r in rows)])
-    return Idf(_sum(x, np.concatenate([np.zeros(0, np.int64), *(_values(r.c).view(np.int64) for r in rows)])), texts.count())
+def weights(texts: DataFrame, share: float = SHARE) -> Weights:
+    """Weights by the exact document frequencies of all shingles over the floor. What comes to the driver is bounded
+    by share alone."""
+    held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    packed = texts.select("text").coalesce(max(1, -(-held // TASK_BYTES)))  # many small partitions make too small blocks
+    found = materialise(packed.mapInArrow(_common_in_blocks(share), "h long, df long, pairs long"), "common")
+    documents, pairs = found.where("h IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+    floor = max(share * pairs, 1.0)
+    known = found.where("h IS NOT NULL").groupBy("h").agg(F.sum("df").alias("df"), F.sum("pairs").alias("pairs"))
+    known = known.where((F.col("df") >= share / 2 * (pairs + F.col("pairs"))) & ((F.col("df") > 1) | (F.col("pairs") < pairs)))
+    keys = np.sort(np.array([r.h for r in known.select("h").collect()], np.int64).view(np.uint64))
+    df = np.zeros(len(keys), np.int64)
+    if len(keys):
+        sent = Shared(texts.sparkSession, Places(keys))
+        for r in packed.mapInArrow(_count(sent), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect():
+            df[r.place] = r.df
+    return Weights(keys, df, documents, floor)
 
 
 class Sampler:
-    """Samples of many sets at once: by counts, or by any weights (improved consistent weighted sampling)."""
+    """Improved consistent weighted samples of many sets at once."""
 
     def __init__(self) -> None:
         r = gamma_quantiles()
@@ -308,22 +202,6 @@ class Sampler:
             out[:, band] = key
         return out
 
-    def counted(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """A row of band hashes for each set of elements, all of one weight: each sample is the least of their hashes."""
-        start = np.cumsum(size) - size
-        out = np.zeros((len(size), BANDS), np.uint64)
-        z, high = np.empty_like(x), np.empty_like(x)
-        for band in range(BANDS):
-            key = np.full(len(size), band + 1, np.uint64)
-            for row in range(ROWS):
-                np.multiply(x, self.keys[band * ROWS + row], out=z)
-                np.right_shift(z, np.uint64(32), out=high)
-                z ^= high
-                z *= np.uint64(0xD6E8FEB86659FD93)
-                key = mix(key ^ np.minimum.reduceat(z, start)) + np.uint64(1)
-            out[:, band] = key
-        return out
-
 
 def elements(x: np.ndarray, tf: np.ndarray) -> np.ndarray:
     """The k-th of equal shingles is an element of its own."""
@@ -338,48 +216,54 @@ def elements(x: np.ndarray, tf: np.ndarray) -> np.ndarray:
 CHUNK = 1 << 15
 
 
-def _sign(batches):
-    sampler = Sampler()
-    for batch in slices(batches):
-        rows = batch.num_rows
-        n, low, high = (np.zeros(rows, np.int64) for _ in range(3))
-        bands = np.zeros((rows, BANDS), np.uint64)
-        held: list = []
-
-        def flush():
-            bands[[y[0] for y in held]] = sampler.counted(np.concatenate([y[1] for y in held]), np.array([len(y[1]) for y in held]))  # noqa: B023
-            held.clear()  # noqa: B023
-
-        for i, size, x, tf in texts_of(batch):
-            n[i] = size
-            if size:
-                low[i] = (mix(x) * tf.astype(np.uint64)).sum().view(np.int64)
-                high[i] = (mix(x ^ np.uint64(0x5851F42D4C957F2D)) * mix(tf.astype(np.uint64))).sum().view(np.int64)
-                held.append((i, elements(x, tf)))
-                if sum(len(y[1]) for y in held) >= CHUNK:
-                    flush()
-        if held:
-            flush()
-        signed = bands.view(np.int64).tolist()
-        made = pa.array([b if k else [] for b, k in zip(signed, n.tolist(), strict=True)], pa.list_(pa.int64()))
-        yield pa.record_batch([batch.column("d"), batch.column("rid"), pa.array(n), pa.array(low), pa.array(high), made], ["d", "rid", "n", "low", "high", "bands"])
-
-
-def _links(documents: int, threshold: float):
+def _sign(weigh):
+    def run(batches):
+        sampler, weight = Sampler(), weigh.value
+        for batch in slices(batches):
+            rows = batch.num_rows
+            n, low, high = (np.zeros(rows, np.int64) for _ in range(3))
+            bands = np.zeros((rows, BANDS), np.uint64)
+            held: list = []
+
+            def flush():
+                bands[[y[0] for y in held]] = sampler.bands(np.concatenate([y[1] for y in held]), np.concatenate([y[2] for y in held]), np.array([len(y[1]) for y in held]))  # noqa: B023
+                held.clear()  # noqa: B023
+
+            size = 0
+            for i, many, x, tf in texts_of(batch):
+                n[i] = many
+                if many:
+                    low[i] = (mix(x) * tf.astype(np.uint64)).sum().view(np.int64)
+                    high[i] = (mix(x ^ np.uint64(0x5851F42D4C957F2D)) * mix(tf.astype(np.uint64))).sum().view(np.int64)
+                    held.append((i, x, weight(x) * tf))
+                    size += len(x)
+                    if size >= CHUNK:
+                        flush()
+                        size = 0
+            if held:
+                flush()
+            signed = bands.view(np.int64).tolist()
+            made = pa.array([b if k else [] for b, k in zip(signed, n.tolist(), strict=True)], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column("d"), batch.column("rid"), pa.array(n), pa.array(low), pa.array(high), made], ["d", "rid", "n", "low", "high", "bands"])
+
+    return run
+
+
+def _links(weigh, threshold: float):
     """Links within a block, or between two blocks: of all pairs over the threshold, a spanning forest. A link
     goes from a text u to one nearer to the hub of its tree, the text of most links, so hubs are never u."""
 
     def linked(held):
-        ids = [d for d, _, _, _ in held]
-        side = np.array([s for _, s, _, _ in held])
+        ids = [d for d, _, _ in held]
+        side = np.array([s for _, s, _ in held])
         parts, owner, tf_all = [], [], []
-        batch = pa.record_batch([pa.array([t for _, _, t, _ in held], pa.large_string())], ["text"])
-        sizes, counts = np.zeros(len(ids)), np.zeros(len(ids))
+        batch = pa.record_batch([pa.array([t for _, _, t in held], pa.large_string())], ["text"])
+        sizes, idf = np.zeros(len(ids)), weigh.value
         done = 0
         for part in slices(iter([batch])):
             for i, _, x, tf in texts_of(part):
-                weight = weight_of(np.frombuffer(held[done + i][3], np.int64), documents)
-                sizes[done + i], counts[done + i] = float((weight * tf).sum()), float(tf.sum())
+                weight = idf(x)
+                sizes[done + i] = float((weight * tf).sum())
                 parts.append(elements(x, tf))
                 tf_all.append(np.repeat(weight, tf))
                 owner.append(np.full(len(parts[-1]), done + i))
@@ -397,17 +281,14 @@ def _links(documents: int, threshold: float):
         if not len(o):
             return
         column = np.unique(column, return_inverse=True)[1]
-        both, shared = (np.zeros((len(ids), len(ids)), np.float64) for _ in range(2))
+        both = np.zeros((len(ids), len(ids)))
         last = int(column.max()) + 1
         for lo in range(0, last, WIDE):
             a, b = np.searchsorted(column, (lo, lo + WIDE))
             m = np.zeros((len(ids), min(WIDE, last - lo)), np.float32)
-            m[o[a:b], column[a:b] - lo] = 1
-            shared += m @ m.T
             m[o[a:b], column[a:b] - lo] = np.sqrt(wt[a:b])
             both += m @ m.T
-        jaccard = lambda inter, size: inter / np.maximum(size[:, None] + size[None, :] - inter, 1e-12)
-        similar = np.maximum(jaccard(both, sizes), jaccard(shared, counts)) >= threshold - 1e-6
+        similar = both >= (threshold - 1e-6) * np.maximum(sizes[:, None] + sizes[None, :] - both, 1e-12)
         if len(set(side.tolist())) > 1:
             similar &= side[:, None] != side[None, :]
         seen = np.zeros(len(ids), bool)
@@ -424,11 +305,11 @@ def _links(documents: int, threshold: float):
         at, held = None, []
         for batch in batches:
             out = []
-            for key, d, s, t, f in zip(*(batch.column(c).to_pylist() for c in ("task", "d", "side", "text", "df")), strict=True):
+            for key, d, s, t in zip(*(batch.column(c).to_pylist() for c in ("task", "d", "side", "text")), strict=True):
                 if key != at:
                     out += linked(held) if len(held) > 1 else ()
                     at, held = key, []
-                held.append((d, s, t or "", f))
+                held.append((d, s, t or ""))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
         out = list(linked(held)) if len(held) > 1 else []
         yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
@@ -464,91 +345,97 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return label
 
 
-def _texts(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """members (v, rid and others) with their texts."""
-    members = members.withColumnRenamed("rid", "mrid")
-    return texts.join(small(members), (F.col("d") == F.col("v")) & (F.col("rid") == F.col("mrid")))
-
-
 def _tasks(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """The texts of members (v, rid, task, side), those of a task together."""
-    held = _texts(texts, materialise(members, "tasks")).select("task", "d", "side", "text", "df")
+    """The texts (d, text) of members (v, task, side), those of a task together."""
+    held = texts.join(small(materialise(members, "tasks")), F.col("d") == F.col("v")).select("task", "d", "side", "text")
     return held.repartition("task").sortWithinPartitions("task", "d")
 
 
 def _blocks(members: DataFrame, block: int, block_words: int, level: int) -> DataFrame:
-    """members (v, c, n, rid) with the number of blocks of their component and their own block b in it."""
+    """members (v, c, n) with the number of blocks of their component and their own block b in it."""
     total = members.groupBy("c").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("words"))
     blocks = F.greatest(F.ceil(F.col("texts") / block), F.ceil(F.col("words") / block_words)).cast("int")
     total = total.select("c", F.when((F.col("texts") <= 2 * block) & (F.col("words") <= 2 * block_words), 1).otherwise(blocks).alias("blocks"))
-    return members.join(total, "c").select("v", "c", "n", "rid", "blocks", F.pmod(F.xxhash64("v", F.lit(level)), F.col("blocks")).cast("int").alias("b"))
+    return members.join(total, "c").select("v", "c", "n", "blocks", F.pmod(F.xxhash64("v", F.lit(level)), F.col("blocks")).cast("int").alias("b"))
 
 
-def _unsettled(large: DataFrame, classes: DataFrame, block: int, block_words: int) -> DataFrame:
-    """v, rid, task, side: tasks that compare all pairs of a component that aren't yet in one class.
+def _unsettled(buckets: DataFrame, classes: DataFrame, block: int, block_words: int) -> DataFrame:
+    """v, task, side: tasks that compare all pairs of a bucket that aren't yet in one class. buckets: v, n and c, the
+    bucket; a text is in many.
 
     A class of a block or more has blocks of its own, smaller ones share blocks; two blocks meet unless both are
-    of one class, so a component that is one class costs nothing and a few texts beside a large class a pass over it.
+    of one class, so a bucket that is one class costs nothing and a few texts beside a large class a pass over it.
+    Of buckets with the same texts one is compared.
     """
-    held = large.join(classes.select("v", F.col("c").alias("k")), "v", "left").withColumn("k", F.coalesce("k", "v"))
-    held = materialise(held, "large-classes")
+    held = buckets.join(classes.select("v", F.col("c").alias("k")), "v", "left").withColumn("k", F.coalesce("k", "v"))
+    held = materialise(held, "bucket-classes")
+    open_ = held.groupBy("c").agg(F.min("k").alias("low"), F.max("k").alias("high"), *(F.bit_xor(F.xxhash64("v", F.lit(i))).alias(f"same{i}") for i in range(2)))
+    open_ = materialise(open_.where("low < high").groupBy("same0", "same1").agg(F.min("c").alias("c")).select("c"), "open-buckets")
+    held = materialise(held.join(small(open_), "c", "left_semi"), "open-classes")
     per = held.groupBy("c", "k").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("words"))
     per = per.withColumn("own", F.when((F.col("texts") >= block) | (F.col("words") >= block_words), F.col("k")))
     per = materialise(per, "class-sizes")
-    groups = per.groupBy("c", "own").agg(F.sum("texts").alias("texts"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("parts"))
+    groups = per.groupBy("c", "own").agg(F.sum("texts").alias("texts"), F.sum("words").alias("words"))
     many = F.greatest(F.ceil(F.col("texts") / block), F.ceil(F.col("words") / block_words)).cast("int")
-    groups = materialise(groups.select("c", "own", "parts", many.alias("blocks")), "class-blocks")
-    open_ = groups.groupBy("c").agg(F.sum("parts").alias("parts")).where("parts > 1").select("c")
-    spread = groups.join(open_, "c", "left_semi").select("c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    groups = materialise(groups.select("c", "own", many.alias("blocks")), "class-blocks")
+    spread = groups.select("c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     spread = materialise(spread.withColumn("side", F.xxhash64("own", "b")), "class-spread")
     meet = spread.alias("x").join(spread.alias("y"), F.col("x.c") == F.col("y.c"))
     meet = meet.where("NOT coalesce(x.own = y.own, false)").select(F.col("x.c").alias("c"), F.col("x.side").alias("side"), F.xxhash64("x.c", F.least("x.side", "y.side"), F.greatest("x.side", "y.side")).alias("task"))
     mine = held.join(per.select("c", "k", "own"), ["c", "k"])
     mine = mine.join(groups.select(F.col("c").alias("gc"), F.col("own").alias("go"), "blocks"), (F.col("c") == F.col("gc")) & F.col("own").eqNullSafe(F.col("go")))
     spot = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("k")).otherwise(F.col("v"))), F.col("blocks")).cast("int")
-    mine = mine.select("v", "rid", "c", F.xxhash64("own", spot).alias("side"))
-    return mine.join(meet, ["c", "side"]).select("v", "rid", "task", "side")
+    mine = mine.select("v", "c", F.xxhash64("own", spot).alias("side"))
+    return mine.join(meet, ["c", "side"]).select("v", "task", "side")
+
+
+def _member_texts(texts: DataFrame, members: DataFrame, repeated: bool) -> DataFrame:
+    """d, text: vertex and text of members (v, lead, rid), one row each. repeated: rows may agree in id and text."""
+    keys = materialise(members.select("v", F.col("lead").alias("d"), "rid"), "member-keys")
+    found = matching(texts, keys, ["d", "rid"]).select(F.col("v").alias("d"), "text")
+    return found.dropDuplicates(["d"]) if repeated else found
 
 
-def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, share: float = SHARE, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs: d (its id, LAST for null), rid (xxhash64 of its text), and those of the least row of
     its class, class_d and class_rid."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("rid"), "text")
-    signed = materialise(texts.mapInArrow(_sign, "d long, rid long, n long, low long, high long, bands array<long>"), "signed")
+    weigh = Shared(docs.sparkSession, weights(texts, share))
+    signed = materialise(texts.mapInArrow(_sign(weigh), "d long, rid long, n long, low long, high long, bands array<long>"), "signed")
     # copies: one of each stands for all, as a vertex of its own
     same = ["n", "low", "high"]
     stand = signed.groupBy(*same).agg(F.min(F.struct("d", "rid")).alias("s"), F.first("bands").alias("bands"))
     stand = materialise(stand.select(*same, F.xxhash64(*same).alias("rep"), F.col("s.d").alias("lead"), F.col("s.rid").alias("rid"), "bands"), "stand-ins")
-    rows = stand.select("rep", F.posexplode("bands").alias("band", "h"))
+    rows = stand.select("rep", "n", F.posexplode("bands").alias("band", "h"))
     least = rows.groupBy("band", "h").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).where("v < top").drop("top")
     stars = rows.join(materialise(least, "buckets"), ["band", "h"]).where("rep <> v").select(F.col("rep").alias("u"), "v")
     candidate = components(stars, "candidates")
     sizes = candidate.join(stand.select(F.col("rep").alias("v"), "n", "lead", "rid"), "v")
     sizes = materialise(sizes, "candidate-sizes")
-    documents, all_words = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     repeated = signed.groupBy("d", "rid").count().where("count > 1").limit(1).count() > 0
-    texts = weighed(texts, sizes, all_words, repeated)
-    links = lambda texts, tasks, name: materialise(_tasks(texts, tasks).mapInArrow(_links(documents, threshold), "u long, v long"), name)
-    mine = materialise(_blocks(sizes, block, block_words, 0), "members")
-    found = links(texts, mine.select("v", "rid", F.xxhash64("c", "b").alias("task"), F.lit(0).alias("side")), "links")
-    large = materialise(mine.where("blocks > 1").select("v", "c", "n", "rid"), "large")
+    texts = materialise(_member_texts(texts, sizes, repeated), "member-texts")
+    links = lambda texts, tasks, name: materialise(_tasks(texts, tasks).mapInArrow(_links(weigh, threshold), "u long, v long"), name)
+    mine = materialise(_blocks(sizes.select("v", "c", "n"), block, block_words, 0), "members")
+    found = links(texts, mine.select("v", F.xxhash64("c", "b").alias("task"), F.lit(0).alias("side")), "links")
+    large = materialise(mine.where("blocks > 1").select("v", "c", "n"), "large")
     left = large.count()
     if left:
-        texts = materialise(_texts(texts, large.select("v", "rid")).select("d", "rid", "text", "df"), "large-texts")
+        texts = materialise(texts.join(small(large.select("v")), F.col("d") == F.col("v"), "left_semi"), "large-texts")
     hubs, last, level = large, found, 0
     while left:
         level += 1
         hubs = materialise(hubs.join(last.select(F.col("u").alias("v")).distinct(), "v", "left_anti"), f"hubs-{level}")
         before, left = left, hubs.count()
         mine = materialise(_blocks(hubs, block, block_words, level), f"hub-blocks-{level}")
-        last = links(texts, mine.select("v", "rid", F.xxhash64("c", "b").alias("task"), F.lit(0).alias("side")), f"hub-links-{level}")
+        last = links(texts, mine.select("v", F.xxhash64("c", "b").alias("task"), F.lit(0).alias("side")), f"hub-links-{level}")
         found = found.unionByName(last)
         if 2 * left > before or not mine.where("blocks > 1").limit(1).count():
             break
     classes = components(found, "classes")
     if level:
-        rest = materialise(_unsettled(large, classes, block, block_words), "unsettled")
+        buckets = rows.join(small(large.select(F.col("v").alias("rep"))), "rep", "left_semi").select(F.col("rep").alias("v"), "n", F.xxhash64("band", "h").alias("c"))
+        rest = materialise(_unsettled(buckets, classes, block, block_words), "unsettled")
         if rest.limit(1).count():
             found = found.unionByName(links(texts, rest, "rest-links"))
             classes = components(found, "all-classes")
@@ -559,10 +446,10 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     return signed.select("d", "rid", *same).join(materialise(named, "named"), same).select("d", "rid", "class_d", "class_rid")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, share: float = SHARE, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest id of its class)."""
     null = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    rows = near_rows(docs, id_col, text_col, threshold, block, block_words)
+    rows = near_rows(docs, id_col, text_col, threshold, share, block, block_words)
     return rows.select(null("d").alias("doc_id"), null("class_d").alias("class_id"))
 
 

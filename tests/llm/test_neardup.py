@@ -1,6 +1,8 @@
 """Near-dedup classes against all pairs of weighted Jaccard similarities."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,31 @@ def fixture(seed=1, n=60):
     return rows + [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "one  two"), (905, "two one"), (906, "same " * 400), (907, "same " * 390), (908, "same " * 40)]
 
 
-def classes(rows, idf, threshold=0.8):
-    bags = []
+def bags(rows):
     for _, t in rows:
         batch = pa.record_batch([pa.array([t or ""], pa.large_string())], ["text"])
         _, _, x, tf = next(neardup.texts_of(batch))
-        bags.append(dict(zip(x.tolist(), tf.tolist(), strict=True)))
-    w = lambda k: float(idf[neardup._bins(np.array([k], np.uint64))[0]])
+        yield dict(zip(x.tolist(), tf.tolist(), strict=True))
+
+
+def idf(rows, share=neardup.SHARE):
+    """The idf of every shingle by counting all of them."""
+    df = Counter(k for b in bags(rows) for k in b)
+    floor = max(share * sum(df.values()), 1)
+    return {k: 1 + math.log(len(rows) / n) / math.log(len(rows) / floor) if n > floor else 2.0 for k, n in df.items()}
+
+
+def similarity(a, b, w):
+    inter = sum(min(a[k], b[k]) * w[k] for k in a if k in b)
+    union = sum(v * w[k] for k, v in a.items()) + sum(v * w[k] for k, v in b.items()) - inter
+    return inter / union if union else float(not a and not b)
+
+
+def classes(rows, share=neardup.SHARE):
+    return brute(rows, list(bags(rows)), idf(rows, share))
+
+
+def brute(rows, held, w, threshold=0.8):
     root = list(range(len(rows)))
 
     def find(v):
@@ -41,12 +61,7 @@ def classes(rows, idf, threshold=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            a, b = bags[i], bags[j]
-            inter = sum(min(a[k], b[k]) * w(k) for k in a if k in b)
-            union = sum(v * w(k) for k, v in a.items()) + sum(v * w(k) for k, v in b.items()) - inter
-            plain = sum(min(a[k], b[k]) for k in a if k in b)
-            most = max(inter / union, plain / (sum(a.values()) + sum(b.values()) - plain)) if union else 0
-            if (not a and not b) or most >= threshold:
+            if similarity(held[i], held[j], w) >= threshold:
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -57,11 +72,44 @@ def classes(rows, idf, threshold=0.8):
 def test_classes(spark):
     rows = fixture()
     df = spark.createDataFrame([(*x, "z", 5) for x in rows], "doc_id long, text string, bands string, c int").repartition(3)
-    idf = neardup.idf_table(df.selectExpr("coalesce(text, '') text"))
-    want = classes(rows, idf)
-    for block in (256, 8):
-        got = {g.doc_id: g.class_id for g in neardup.near_classes(df, block=block).collect()}
-        assert got == want
+    for share, block in ((neardup.SHARE, 256), (neardup.SHARE, 8), (1 / 5000, 256)):
+        got = {g.doc_id: g.class_id for g in neardup.near_classes(df, share=share, block=block).collect()}
+        assert got == classes(rows, share)
+
+
+def test_weights(spark, monkeypatch):
+    """Exact document frequencies of all shingles over the floor, from blocks that hold only parts of them."""
+    r = random.Random(8)
+    lines = [" ".join(f"l{r.randrange(10**6)}" for _ in range(9)) for _ in range(30)]
+    rows = [(i, "\n".join([*(x for k, x in enumerate(lines) if r.random() < (0.8 if k < 3 else 1 / (k + 1))), *(f"u{r.randrange(10**9)}" for _ in range(40))])) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).select("text")
+    seen = set()
+    for share, counted in ((2**-16, 1 << 22), (1 / 2000, 1000), (1 / 300, 3000)):
+        monkeypatch.setattr(neardup, "COUNTED", counted)
+        want = idf(rows, share)
+        got = neardup.weights(df, share)
+        x = np.array(list(want), np.uint64)
+        assert np.abs(got(x) - np.array(list(want.values()))).max() < 1e-9
+        assert len(got.weight) <= 1 / share
+        seen.add(len(got.weight))
+    assert len(seen) == 3 and min(seen) > 0
+
+
+def test_recall_of_all_pairs():
+    """Of all pairs of a weighted similarity of 0.8 or more, those that share a band."""
+    rows = [(i, t or "") for i, t in fixture(3, 150)]
+    w, held = idf(rows), list(bags(rows))
+    sampler, sign = neardup.Sampler(), []
+    for b in held:
+        x = np.array(sorted(b), np.uint64)
+        sign.append(sampler.bands(x, np.array([w[k] * b[k] for k in x.tolist()]), np.array([len(x)]))[0] if b else np.zeros(neardup.BANDS))
+    found = total = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if held[i] and similarity(held[i], held[j], w) >= 0.8:
+                total += 1
+                found += (sign[i] == sign[j]).any()
+    assert total > 200 and found >= 0.99 * total
 
 
 def test_edges(spark):
@@ -105,46 +153,23 @@ def test_large_group(spark):
     rows = []
     for i in range(90):
         w = list(base)
-        for _ in range(1 if i < 70 else 5 if i < 80 else 3):
+        for _ in range(1 if i < 70 else 5 if i < 80 else 2):
             w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"x{r.randrange(10**6)}" for _ in range(120))) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    want = classes(rows, neardup.idf_table(df.select("text")))
-    assert len(set(want.values())) > 1 and max(list(want.values()).count(c) for c in set(want.values())) > 60
+    w, held = idf(rows), list(bags(rows[:90]))
+    assert min(w[k] for b in held for k in b) > 1.2
     got = {g.doc_id: g.class_id for g in neardup.near_classes(df, block=8).collect()}
-    assert got == want
-    large = spark.createDataFrame([(i, 0, 100, i) for i in range(40)], "v long, c long, n int, rid long")
+    assert got == brute(rows[:90], held, w) | {d: d for d, _ in rows[90:]}
+    sizes = Counter(got.values())
+    assert max(sizes.values()) > 40 and sum(n == 1 for c, n in sizes.items() if c < 90) > 3
+    large = spark.createDataFrame([(i, 100, b) for i in range(40) for b in (0, 1)], "v long, n int, c long")
     one = spark.createDataFrame([(i, 0) for i in range(40)], "v long, c long")
     assert neardup._unsettled(large, one, 8, 10**6).count() == 0
     two = one.where("v < 39")
     tasks = neardup._unsettled(large, two, 8, 10**6).groupBy("task").count().count()
-    assert tasks == 6  # five blocks of the class with the one left over, and that by itself
-
-
-def saturated():
-    """A pair of 0.715 by counts and over 0.8 by TF-IDF, among so many shingles that hashed bins would fill up."""
-    r = random.Random(9)
-    run = lambda n: [f"x{r.randrange(10**12)}" for _ in range(n)]
-    shared, one, two = run(720), run(140), run(140)
-    rows = [(1, " ".join(one + shared)), (2, " ".join(two + shared))]
-    return rows + [(10 + i, " ".join((one if i < 200 else two) + run(4000))) for i in range(400)]
-
-
-def test_exact_frequencies(spark, monkeypatch):
-    rows = saturated()
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = {}
-    for _, t in rows:
-        for k in set(next(neardup.texts_of(pa.record_batch([pa.array([t], pa.large_string())], ["text"])))[2].tolist()):
-            found[k] = found.get(k, 0) + 1
-    idf, n = neardup.idf_table(df), len(rows)
-    keys = np.array(list(found), np.uint64)
-    want = 1 + np.log((1 + n) / (1 + np.array(list(found.values())))) / np.log(1 + n)
-    assert np.abs(idf[neardup._bins(keys)] - want).max() < 1e-9
-    monkeypatch.setattr(neardup, "RANGE_WORDS", 300_000, raising=False)
-    monkeypatch.setattr(neardup, "GROUP_WORDS", 500, raising=False)
-    got = {g.doc_id: g.class_id for g in neardup.near_classes(df).collect()}
-    assert got == {i: 1 if i == 2 else i for i, _ in rows}
+    assert tasks == 6  # five blocks of the class with the one left over, and that by itself; one bucket of the two equal ones
 
 
 def test_shared_ids(spark):
@@ -156,13 +181,3 @@ def test_shared_ids(spark):
     got = neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(5, 5)] * 3 + [(10, 5), (11, 5), (12, 5)] + [(None, 13), (None, 14), (None, 15)] + [(13, 13), (14, 14), (15, 15)]
     assert sorted(map(str, ((g.doc_id, g.class_id) for g in got))) == sorted(map(str, want))
-
-
-def test_candidates_by_counts():
-    """Pairs of 2/3 by counts, the least that a link can have, share a band; so do those whose frequent shingles agree."""
-    sampler, rng, missed = neardup.Sampler(), np.random.default_rng(2), 0
-    for _ in range(2000):
-        x = mix(rng.integers(0, 2**62, 60, dtype=np.uint64))
-        m = sampler.counted(np.concatenate([x[:50], x[10:]]), np.array([50, 50]))
-        missed += not (m[0] == m[1]).any()
-    assert missed <= 3
