@@ -1,22 +1,26 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fit: a bounded sample of labelled rows (EXAMPLES, by least hash of their id) gives the features, at most FEATURES
-folded words whose presence differs between labels both significantly (a likelihood ratio over G) and strongly (a
-rate LIFT times as high or low), and the examples of the index. Document frequencies of the features are counted
-over all documents. A text's vector is (1 + ln tf) * idf over features, of length 1.
-
-Score: the index keeps postings by feature and, for each block of examples, every feature's largest weight. Blocks
-are read in order of their bound, the sum of the query's weights times those maxima, until no bound exceeds the
-k-th best cosine, so the k nearest are exact (ties go to the example earlier in the index). Their votes, weighted
-by cosine and joined by a prior vote with the rate of examples without features, are calibrated by logistic
-regression on leave-one-out votes of the examples. A text without features gets that rate.
+Fit: a bounded sample of labelled rows (at most EXAMPLES, by least hash of their id, of at most EXAMPLE_WORDS distinct
+words in sum) gives the examples. The vector space is all their folded words; as in any fitted vectoriser, words that
+no example has are no dimension. A text's vector is (1 + ln tf) * idf * relevance, of length 1: idf is
+1 + ln((1 + N) / (1 + df)) with df over all documents; relevance grows with the likelihood ratio G between a word's
+presence and the label in the sample, from FAINT for a word that tells nothing to 1 (FAINT + G^2 / (G^2 + K^2), K a
+share DECISIVE of what labels could tell at most). No word is left out: without marking words, a text's neighbours
+are those of its other words.
+
+Score: the index keeps postings by word and, for each block of examples, every word's largest weight. Words of
+many examples are kept as columns of a matrix. Texts go through in batches: the bound of a block is the
+sum of a text's weights times those maxima; a text's two best blocks are read first, then those whose bound
+reaches its k-th best cosine, so the k nearest are exact (cosines to six digits; ties go to the example earlier in
+the index). Their votes, weighted by cosine and joined by a prior vote with the rate of the sample, are calibrated by
+logistic regression on leave-one-out votes of the examples. A text without a known word gets that rate.
 
 Labels are read only of rows whose crc32(doc_id as text) mod 3 is not 1, to fit; nothing but the text enters a score.
 
-Defined results: null and empty texts have no features; one row per row of documents; null labels and labels
+Defined results: null and empty texts have no words; one row per row of documents; null labels and labels
 without a document are left out, of several labels of an id the largest counts; without labelled rows of both
 kinds the score is the smoothed rate of label 1 (0 if there are none); a null id is not held out; an empty table
-gives an empty result. Columns beside id, text and toxic are left alone.
+gives an empty result. Ids are numbers; columns beside id, text and toxic are left alone.
 """
 
 from __future__ import annotations
@@ -31,113 +35,158 @@ from pyspark.sql import functions as F
 from .common import Shared, materialise, slices
 from .words import words
 
-EXAMPLES, FEATURES, G, LIFT, LEAST = 8000, 1024, 25.0, 4.0, 5
+EXAMPLES, EXAMPLE_WORDS = 8000, 4_000_000
+FAINT, DECISIVE = 0.01, 0.04
 NEIGHBOURS, BLOCK, PRIOR, TOXIC, EVIDENCE = 16, 64, 0.5, 0.7, 3
+#: Words in at least this share of the examples are columns of the matrix, WIDEST at most.
+DENSE, WIDEST = 1 / 6, 512
+#: Texts scored at once.
+BATCH = 256
 
 
-def bags(batch: pa.RecordBatch, features: np.ndarray | None = None):
-    """(rows, words, counts) of distinct folded words of each text, or of those that are features (as places)."""
+def bags(batch: pa.RecordBatch, known: np.ndarray | None = None):
+    """(rows, words, counts) of distinct folded words of each text, or of known ones as places in their sorted list."""
     w = words(batch.column("text"), fold=True)
     h, owner = w.hashes(), w.text_of()
-    if features is not None:
-        at = np.searchsorted(features, h)
-        at[at == len(features)] = 0
-        ok = features[at] == h if len(features) else np.zeros(len(h), bool)
-        h, owner = at[ok].astype(np.uint64), owner[ok]
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     start = np.flatnonzero(new)
-    return owner[start], h[start], np.diff(np.concatenate([start, [len(h)]]))
+    owner, h, tf = owner[start], h[start], np.diff(np.concatenate([start, [len(h)]]))
+    if known is None:
+        return owner, h, tf
+    at = np.searchsorted(known, h)
+    at[at == len(known)] = 0
+    ok = known[at] == h if len(known) else np.zeros(len(h), bool)
+    return owner[ok], at[ok], tf[ok]
 
 
-def _words_of(batches):
+def _bags_of(batches):
     for batch in slices(batches):
-        owner, h, _ = bags(batch)
-        yield pa.record_batch([batch.column("toxic").take(pa.array(owner)), pa.array(h.view(np.int64))], ["toxic", "w"])
+        owner, h, tf = bags(batch)
+        cut = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
+        parts = [(h[a:b].tobytes(), tf[a:b].astype(np.int64).tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(np.diff(cut)), *(pa.array([x[i] for x in parts], pa.binary()) for i in range(2))], ["doc_id", "toxic", "n", "h", "tf"])
 
 
-def _frequencies(features):
+def _frequencies(known):
     def run(batches):
-        f, n = features.value, 0
+        f, n = known.value, 0
         df = np.zeros(len(f) + 1, np.int64)
         for batch in slices(batches):
             n += batch.num_rows
-            df[: len(f)] += np.bincount(bags(batch, f)[1].astype(np.int64), minlength=len(f))
+            df[: len(f)] += np.bincount(bags(batch, f)[1], minlength=len(f))
         df[-1] = n
-        yield pa.record_batch([pa.array(np.arange(len(df))), pa.array(df)], ["place", "df"])
+        some = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(some), pa.array(df[some])], ["place", "df"])
 
     return run
 
 
-def _vectors(features):
-    def run(batches):
-        for batch in slices(batches):
-            owner, at, tf = bags(batch, features.value)
-            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            make = lambda x: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x.astype(np.int64)))  # noqa: B023, E731
-            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), make(at), make(tf)], ["doc_id", "toxic", "at", "tf"])
-
-    return run
+def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """How much words tell that stand in so many toxic and clean examples."""
+    n, total = toxic + clean, n_toxic + n_clean
+    part = lambda x, rate: np.where(x > 0, x * np.log(np.maximum(x, 1) / (n * rate)), 0.0)
+    g = 2 * (part(toxic, n_toxic / total) + part(clean, n_clean / total))
+    most = -2 * (n_toxic * math.log(n_toxic / total) + n_clean * math.log(n_clean / total))
+    return FAINT + g**2 / (g**2 + (DECISIVE * most) ** 2)
 
 
 class Index:
-    """The examples, their postings and block maxima, and the calibration. Bounded by EXAMPLES and FEATURES."""
-
-    def __init__(self, features: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]]) -> None:
-        self.features, self.idf = features, idf
-        bare = [y for _, y, at, _ in examples if not at]
-        self.rate = (sum(bare) + 0.5) / (len(bare) + 1) if examples else 0.0
-        made = [(self.vector(np.array(at), np.array(tf)), np.array(at), d, y) for d, y, at, tf in examples if at]
-        made.sort(key=lambda x: (int(x[1][np.argmax(x[0])]), x[2]))  # neighbours in the index are alike: tight bounds
-        self.ids = [x[2] for x in made]
-        self.y = np.array([x[3] for x in made], float)
-        n, blocks = len(made), (len(made) + BLOCK - 1) // BLOCK
-        self.post: list[tuple[np.ndarray, np.ndarray]] = []
-        by: list[list[tuple[int, float]]] = [[] for _ in features]
-        self.most = np.zeros((len(features), max(blocks, 1)))
-        for i, (weight, at, _, _) in enumerate(made):
-            for f, x in zip(at.tolist(), weight.tolist(), strict=True):
-                by[f].append((i, x))
-                self.most[f, i // BLOCK] = max(self.most[f, i // BLOCK], x)
-        self.post = [(np.array([i for i, _ in p], np.int64), np.array([x for _, x in p])) for p in by]
-        self.cut = [np.searchsorted(i, np.arange(blocks + 1) * BLOCK) for i, _ in self.post]
+    """The examples, their postings and block maxima, and the calibration. Bounded by EXAMPLES and EXAMPLE_WORDS."""
+
+    def __init__(self, known: np.ndarray, weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
+        """known: sorted hashes of words; examples: id, label, places of distinct words, their counts."""
+        self.known, self.weight = known, weight
+        self.rate = (sum(y for _, y, _, _ in examples) + 0.5) / (len(examples) + 1) if examples else 0.0
+        heavy = lambda at, tf: int(at[np.argmax((1 + np.log(tf)) * weight[at])])
+        made = sorted((x for x in examples if len(x[2])), key=lambda x: (heavy(x[2], x[3]), x[0]))  # neighbours are alike: tight bounds
+        self.ids, self.y = np.array([x[0] for x in made], np.int64), np.array([x[1] for x in made], float)
+        self.blocks = max(-(-len(made) // BLOCK), 1)
+        owner = np.repeat(np.arange(len(made)), [len(x[2]) for x in made])
+        at, tf = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in made)]) for i in (2, 3))
+        value = self.vectors(owner, at, tf, len(made))
+        order = np.argsort(at, kind="stable")
+        self.who, self.value = owner[order].astype(np.int32), value[order].astype(np.float32)
+        self.first = np.searchsorted(at[order], np.arange(len(known) + 1))
+        held = np.diff(self.first)
+        wide = np.argsort(-held, kind="stable")[:WIDEST]
+        wide = wide[held[wide] >= max(DENSE * len(made), 1)]
+        self.column = np.full(len(known), -1, np.int32)
+        self.column[wide] = np.arange(len(wide))
+        self.matrix = np.zeros((len(wide), self.blocks * BLOCK), np.float32)
+        dense = self.column[at] >= 0
+        self.matrix[self.column[at[dense]], owner[dense]] = value[dense]
+        self.most = self.matrix.reshape(len(wide), self.blocks, BLOCK).max(2)
         self.a, self.b = 1.0, 0.0
-        if 0 < self.y.sum() < n:
-            votes = np.array([self.vote(*self.nearest(x[1], x[0], skip=i)) for i, x in enumerate(made)])
-            self.a, self.b = logistic(_logit(votes), self.y)
-
-    def vector(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        weight = (1 + np.log(tf)) * self.idf[at]
-        return weight / np.sqrt((weight**2).sum())
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples of cosine over 0, best first."""
-        bound = weight @ self.most[at]
-        order = np.argsort(-bound, kind="stable")
-        who, cos = np.zeros(0, np.int64), np.zeros(0)
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(who) == k and bound[b] < cos[-1] - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            for f, x in zip(at.tolist(), weight.tolist(), strict=True):
-                lo, hi = self.cut[f][b : b + 2]
-                if hi > lo:
-                    scores[self.post[f][0][lo:hi] - b * BLOCK] += x * self.post[f][1][lo:hi]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                scores[skip - b * BLOCK] = 0
-            some = np.flatnonzero(scores > 0)
-            who, cos = np.concatenate([who, some + b * BLOCK]), np.concatenate([cos, scores[some]])
-            best = np.lexsort((who, -np.round(cos, 12)))[:k]
-            who, cos = who[best], cos[best]
-        return who, cos
-
-    def vote(self, who: np.ndarray, cos: np.ndarray) -> float:
-        return float((cos @ self.y[who] + PRIOR * self.rate) / (cos.sum() + PRIOR)) if len(who) else self.rate
-
-    def score(self, vote: float) -> float:
-        return float(1 / (1 + math.exp(-(self.a * _logit(np.array([vote]))[0] + self.b))))
+        if 0 < self.y.sum() < len(made):
+            self.a, self.b = logistic(_logit(self.votes(*self.nearest(owner, at, tf, len(made), alone=True))), self.y)
+
+    def vectors(self, owner: np.ndarray, at: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+        """Weights of the words (places at, counts tf) of n texts, each of length 1."""
+        value = (1 + np.log(tf)) * self.weight[at]
+        size = np.sqrt(np.bincount(owner, value**2, n))
+        return value / size[owner]
+
+    def nearest(self, owner: np.ndarray, at: np.ndarray, tf: np.ndarray, n: int, k: int = NEIGHBOURS, alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples of each of n texts, best first; a cosine of 0 is none. alone:
+        the texts are the examples, and none is its own neighbour."""
+        value, found = self.vectors(owner, at, tf, n), []
+        cut = np.searchsorted(owner, np.arange(0, n + BATCH, BATCH))
+        for i, lo in enumerate(range(0, n, BATCH)):
+            part = slice(cut[i], cut[i + 1])
+            rows = min(BATCH, n - lo)
+            found.append(self._nearest(owner[part] - lo, at[part], value[part], rows, k, np.arange(lo, lo + rows) if alone else None))
+        empty = np.zeros((0, k))
+        return tuple(np.concatenate([empty.astype(t), *(x[j] for x in found)]) for j, t in ((0, np.int64), (1, float)))
+
+    def _nearest(self, owner, at, value, n: int, k: int, skip):
+        wide, width = self.column[at], self.blocks * BLOCK
+        rare = wide < 0
+        begin, count = self.first[at[rare]], np.diff(self.first)[at[rare]]
+        inside = np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
+        spot = np.repeat(owner[rare] * width, count) + self.who[inside]
+        cos = np.bincount(spot, np.repeat(value[rare], count) * self.value[inside], n * width).reshape(n, self.blocks, BLOCK)
+        query = np.zeros((n, len(self.matrix)), np.float32)
+        query[owner[~rare], wide[~rare]] = value[~rare]
+        bound = cos.max(2) + query @ self.most + 1e-5
+        done, each = np.zeros((n, self.blocks), bool), np.arange(n)
+
+        def read(todo):
+            for b in np.flatnonzero(todo.any(0)).tolist():
+                rows = np.flatnonzero(todo[:, b])
+                cos[rows, b] += query[rows] @ self.matrix[:, b * BLOCK : (b + 1) * BLOCK]
+            done[todo] = True
+            cos[~done] = 0
+            if skip is not None:
+                cos.reshape(n, width)[each, skip] = 0
+
+        rest = cos.copy()
+        best = np.argsort(-bound, axis=1, kind="stable")[:, :2]
+        todo = np.zeros_like(done)
+        todo[each[:, None], best] = True
+        read(todo)
+        few = np.take_along_axis(cos, best[:, :, None], 1).reshape(n, -1)
+        least = np.partition(few, -k, axis=1)[:, -k] if few.shape[1] >= k else np.zeros(n)
+        todo = ~done & (bound >= least[:, None]) & (bound > 2e-5)
+        cos[todo] = rest[todo]
+        read(todo)
+        flat = np.rint(cos.reshape(n, width) * 1e6).astype(np.int64)
+        key = flat * width - np.arange(width)
+        k = min(k, width)
+        who = np.argpartition(-key, k - 1, axis=1)[:, :k]
+        who = np.take_along_axis(who, np.argsort(-np.take_along_axis(key, who, 1), axis=1), 1)
+        near = np.take_along_axis(flat, who, 1) / 1e6
+        pad = NEIGHBOURS - k
+        return (np.pad(who, ((0, 0), (0, pad))), np.pad(near, ((0, 0), (0, pad)))) if pad > 0 else (who, near)
+
+    def votes(self, who: np.ndarray, cos: np.ndarray) -> np.ndarray:
+        y = np.concatenate([self.y, np.zeros(self.blocks * BLOCK - len(self.y))])
+        return ((cos * y[who]).sum(1) + PRIOR * self.rate) / (cos.sum(1) + PRIOR)
+
+    def scores(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.a * _logit(votes) + self.b)))
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -161,72 +210,71 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, features: int = FEATURES) -> Index | float:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, example_words: int = EXAMPLE_WORDS) -> Index | float:
     """An index, or a rate where there is nothing to learn. docs: doc_id, text; labels: doc_id, toxic."""
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    there = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     sample = materialise(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples), "labelled")
-    total, toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    toxic = toxic or 0
+    rows = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = materialise(rows.mapInArrow(_bags_of, "doc_id long, toxic int, n long, h binary, tf binary"), "examples")
+    chosen, held = [], 0
+    for r in rows.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if held + r.n <= example_words:
+            chosen.append(r.doc_id)
+            held += r.n
+    if len(chosen) < examples:
+        rows = rows.join(F.broadcast(spark.createDataFrame([(d,) for d in chosen], "doc_id long")), "doc_id", "left_semi")
+    found = sorted((r.doc_id, r.toxic, np.frombuffer(r.h, np.uint64), np.frombuffer(r.tf, np.int64)) for r in rows.collect()) if chosen else []
+    total, toxic = len(found), sum(y for _, y, _, _ in found)
     if not 0 < toxic < total:
         return float((toxic + 0.5) / (total + 1)) if total else 0.0
-    rows = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = materialise(rows, "examples")
-    seen = rows.select("text", "toxic").mapInArrow(_words_of, "toxic int, w long").groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    a, b, rate = F.col("a"), F.col("b"), toxic / total
-    part = lambda x, p: F.when(x > 0, x * F.log(x / ((a + b) * p))).otherwise(0.0)
-    ratio = 2 * (part(a, rate) + part(b, 1 - rate))
-    lift = F.abs(F.log(((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (total - toxic + 1))))
-    chosen = seen.where(a + b >= LEAST).select("w", ratio.alias("g"), lift.alias("lift")).where((F.col("g") >= G) & (F.col("lift") >= math.log(LIFT)))
-    found = np.sort(np.array([r.w for r in chosen.orderBy(F.desc("g"), "w").limit(features).collect()], np.int64).view(np.uint64))
-    sent = Shared(spark, found)
-    counts = docs.select("text").mapInArrow(_frequencies(sent), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect()
-    df = np.zeros(len(found) + 1)
-    for r in counts:
+    vocabulary = np.unique(np.concatenate([h for _, _, h, _ in found]))
+    placed = [(d, y, np.searchsorted(vocabulary, h), tf) for d, y, h, tf in found]
+    count = lambda label: np.bincount(np.concatenate([np.zeros(0, np.int64), *(at for _, y, at, _ in placed if y == label)]), minlength=len(vocabulary))
+    sent = Shared(spark, vocabulary)
+    df = np.zeros(len(vocabulary) + 1)
+    for r in docs.select("text").mapInArrow(_frequencies(sent), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect():
         df[r.place] = r.df
     idf = 1 + np.log((1 + df[-1]) / (1 + df[:-1]))
-    vectors = rows.mapInArrow(_vectors(sent), "doc_id long, toxic int, at array<long>, tf array<long>")
-    return Index(found, idf, sorted((r.doc_id, r.toxic, r["at"], r.tf) for r in vectors.collect()))
+    return Index(vocabulary, idf * relevance(count(1), count(0), toxic, total - toxic), placed)
 
 
-EVIDENCE_TYPE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+EVIDENCE_TYPE = "array<struct<doc_id:long,cosine:double,toxic:int>>"
 
 
 def _score(index):
     def run(batches):
         x = index.value
         for batch in slices(batches):
-            scores, why = np.full(batch.num_rows, x.score(x.rate)), [[] for _ in range(batch.num_rows)]
-            owner, at, tf = bags(batch, x.features)
-            at = at.astype(np.int64)
-            for i in np.unique(owner).tolist():
-                lo, hi = np.searchsorted(owner, (i, i + 1))
-                who, cos = x.nearest(at[lo:hi], x.vector(at[lo:hi], tf[lo:hi]))
-                scores[i] = x.score(x.vote(who, cos))
-                why[i] = [{"doc_id": x.ids[w], "cosine": c, "toxic": int(x.y[w])} for w, c in zip(who[:EVIDENCE].tolist(), cos[:EVIDENCE].tolist(), strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), pa.array(scores), pa.array(why, EVIDENCE_TYPE)], ["doc_id", "rid", "score", "evidence"])
+            n = batch.num_rows
+            who, cos = x.nearest(*bags(batch, x.known), n)
+            scores = x.scores(x.votes(who, cos))
+            some = cos[:, :EVIDENCE] > 0
+            w = who[:, :EVIDENCE][some]
+            shown = pa.StructArray.from_arrays([pa.array(x.ids[w]), pa.array(cos[:, :EVIDENCE][some]), pa.array(x.y[w].astype(np.int32))], ["doc_id", "cosine", "toxic"])
+            cut = np.concatenate([[0], np.cumsum(some.sum(1))]).astype(np.int32)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), pa.array(scores), pa.ListArray.from_arrays(pa.array(cut), shown)], ["doc_id", "rid", "score", "evidence"])
 
     return run
 
 
-def scored_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, features: int = FEATURES) -> DataFrame:
+def scored_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, example_words: int = EXAMPLE_WORDS) -> DataFrame:
     """The columns of toxicity and rid, the xxhash64 of the text scored."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    index = fit(texts, labels.select(F.col(id_col).cast("long").alias("doc_id"), "toxic"), examples, features)
+    index = fit(texts, labels.select(F.col(id_col).cast("long").alias("doc_id"), "toxic"), examples, example_words)
     texts = texts.withColumn("rid", F.xxhash64("text"))
     if isinstance(index, float):
-        scored = texts.select("doc_id", "rid", F.lit(index).alias("score"), F.array().cast("array<struct<doc_id:long,cosine:double,toxic:int>>").alias("evidence"))
+        scored = texts.select("doc_id", "rid", F.lit(index).alias("score"), F.array().cast(EVIDENCE_TYPE).alias("evidence"))
     else:
-        sent = Shared(docs.sparkSession, index)
-        scored = texts.mapInArrow(_score(sent), "doc_id long, rid long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+        scored = texts.mapInArrow(_score(Shared(docs.sparkSession, index)), f"doc_id long, rid long, score double, evidence {EVIDENCE_TYPE}")
     return scored.select("doc_id", "rid", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"), "evidence")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, features: int = FEATURES) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, example_words: int = EXAMPLE_WORDS) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (nearest examples, cosines, labels) of every row."""
-    return scored_rows(docs, labels, id_col, text_col, examples, features).drop("rid")
+    return scored_rows(docs, labels, id_col, text_col, examples, example_words).drop("rid")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

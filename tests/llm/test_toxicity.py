@@ -62,19 +62,47 @@ def test_edges(spark):
 
 
 def test_nearest_is_exact():
+    """The k nearest of all examples by their full vectors, leave-one-out ones too."""
     r = np.random.default_rng(2)
-    features = np.sort(r.integers(0, 2**63, 40, dtype=np.uint64))
-    bag = lambda: np.sort(r.choice(40, r.integers(1, 6), replace=False)).tolist()
-    examples = [(i, int(r.random() < 0.3), at := bag() if i % 7 else [], r.integers(1, 4, len(at)).tolist()) for i in range(500)]
-    index = toxicity.Index(features, r.uniform(1, 8, 40), examples)
-    dense = np.zeros((len(index.ids), 40))
-    for f, (who, weight) in enumerate(index.post):
-        dense[who, f] = weight
-    assert np.allclose((dense**2).sum(1), 1)
-    for _ in range(200):
-        at = np.array(bag())
-        q = index.vector(at, r.integers(1, 4, len(at)))
-        cos = dense[:, at] @ q
-        best = [i for i in np.lexsort((np.arange(len(cos)), -np.round(cos, 12))) if cos[i] > 0][: toxicity.NEIGHBOURS]
-        who, got = index.nearest(at, q)
-        assert who.tolist() == best and np.allclose(got, cos[best])
+    known = np.sort(r.integers(0, 2**63, 400, dtype=np.uint64))
+    popular = 1 / np.arange(1, 401)
+    bag = lambda: np.sort(r.choice(400, r.integers(1, 40), replace=False, p=popular / popular.sum()))
+    examples = [(i, int(r.random() < 0.3), at := bag() if i % 7 else np.zeros(0, np.int64), r.integers(1, 4, len(at))) for i in range(700)]
+    index = toxicity.Index(known, r.uniform(0.01, 8, 400), examples)
+    assert 5 < len(index.matrix) < 300 and index.blocks == 10
+    full = {d: np.zeros(400) for d, _, _, _ in examples}
+    for d, _, at, tf in examples:
+        full[d][at] = (1 + np.log(tf)) * index.weight[at]
+    dense = np.stack([full[d] / np.linalg.norm(full[d]) for d in index.ids.tolist()])
+
+    def check(vectors, who, cos, skip=False):
+        for i, v in enumerate(vectors):
+            want = dense @ v
+            if skip:
+                want[i] = 0
+            best = np.sort(want)[::-1][: toxicity.NEIGHBOURS]
+            assert np.abs(best - cos[i]).max() < 2e-6 and np.abs(want[who[i]] - cos[i])[cos[i] > 0].max() < 2e-6
+
+    bags = [(bag(), None) for _ in range(600)]
+    bags = [(at, r.integers(1, 4, len(at))) for at, _ in bags]
+    owner = np.repeat(np.arange(600), [len(at) for at, _ in bags])
+    at, tf = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+    vectors = np.zeros((600, 400))
+    vectors[owner, at] = index.vectors(owner, at, tf, 600)
+    check(vectors, *index.nearest(owner, at, tf, 600))
+    by = {d: (at, tf) for d, _, at, tf in examples}
+    own = [by[d] for d in index.ids.tolist()]
+    owner = np.repeat(np.arange(len(own)), [len(x) for x, _ in own])
+    check(dense, *index.nearest(owner, np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own]), len(own), alone=True), skip=True)
+
+
+def test_no_word_is_left_out(spark):
+    """A near copy of a labelled text is nearest to it by words that tell nothing; a bound on words drops whole examples."""
+    rows, labels, _ = corpus(300)
+    r = random.Random(4)
+    odd = " ".join(f"rare{r.randrange(10**6)}" for _ in range(30))
+    free = next(i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    got = {g.doc_id: g for g in run(spark, [*rows, (free, odd), (20_000, odd + " and more")], [*labels, (free, 0)])}
+    assert got[20_000].evidence[0].doc_id == free and got[20_000].evidence[0].cosine > 0.9
+    few = run(spark, rows, labels, example_words=500)
+    assert len({e.doc_id for g in few for e in g.evidence}) < 60
