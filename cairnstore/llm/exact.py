@@ -1,15 +1,17 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
-A text is cut where its own content says so (a window of characters that matches a boundary class, between a
-least and a most length), so equal passages give equal chunks wherever they stand. A chunk's identifier is the
-head of its SHA-256; a text's recipe is its ordered list of identifiers, a few hundredths of its length, and only
-recipes are shuffled. Identifiers of chunks in texts that would be called equal are verified by their bytes: those texts'
-chunks are moved once, distinct ones at that, and any identifier that stands for two chunks is replaced by the
-chunk itself in the recipes it is in.
+A text is cut where its own bytes say so (the last bits of a window of bytes spell PATTERN, between a least and a
+most length; a byte that begins a character of several bytes fits both bits, so that scripts whose characters all begin
+alike are cut like others). So equal passages give equal chunks wherever they stand, in any script. A chunk's identifier is
+the head of its SHA-256; a text's recipe is its ordered list of identifiers, a few hundredths of its length, and only
+recipes are shuffled. Identifiers of chunks in texts that would be called equal are verified by their bytes: those
+texts are found by a sieve of bounded size (so texts are not moved to find them), their distinct chunks are moved once,
+and any identifier that stands for two chunks is replaced by the chunk itself in the recipes it is in. A group of more
+than a thousandth of all rows meets its rows by a broadcast of at most a thousand recipes.
 
 Defined results: null texts are empty; empty texts are equal to each other; rows that repeat id and text make one
-kept row, the others are dropped; null ids rank below all others; an empty table gives an empty result. Other
-columns, whatever their names, are not read.
+kept row, the others are dropped; null ids rank below all others; an empty table gives an empty result. Ids are of any
+type that has an order. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -17,14 +19,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small
+from .common import materialise, sieved, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Least and most characters of a chunk, and the four-character windows that end one: rarer than one in LEAST, so
-#: that cuts fall into step again soon after an edit.
-LEAST, MOST, BOUNDARY = 256, 4096, "(?<=[a-m][dlst][ .,;\\n][aow])"
+#: Least and most bytes of a chunk, and the last bits of the bytes before a cut: an odd byte, an even one, ...
+LEAST, MOST, PATTERN = 256, 4096, "1001101001"
 #: Bits of an identifier; equal ones are verified by their chunks' bytes.
 BITS = 128
+#: A group of more than one in so many rows is hot.
+HOT = 1000
+
+
+def boundary(pattern: str = PATTERN) -> str:
+    """A regular expression for the place after such bytes, each byte a character of ISO 8859-1."""
+    classes = ["[" + "".join(f"\\x{b:02x}" for b in range(bit, 0xC0, 2)) + "\\xc0-\\xff]" for bit in (0, 1)]
+    return "(?<=" + "".join(classes[int(bit)] for bit in pattern) + ")"
 
 
 def normalise(text: Column) -> Column:
@@ -33,9 +42,10 @@ def normalise(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def chunks(text: Column, least: int = LEAST, most: int = MOST, boundary: str = BOUNDARY) -> Column:
-    """Content-defined chunks; their concatenation is the text."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{{least},{most}}}?{boundary}|.{{1,{most}}}"), F.lit(0))
+def chunks(text: Column, least: int = LEAST, most: int = MOST, pattern: str = PATTERN) -> Column:
+    """Content-defined chunks of the UTF-8 bytes, each byte written as one character; their concatenation is the text."""
+    held = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.regexp_extract_all(held, F.lit(f"(?s).{{{least},{most}}}?{boundary(pattern)}|.{{1,{most}}}"), F.lit(0))
 
 
 def identifier(chunk: Column, bits: int = BITS) -> Column:
@@ -44,7 +54,7 @@ def identifier(chunk: Column, bits: int = BITS) -> Column:
     return F.unhex(F.substring(digest, 1, bits // 4))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     source = docs.select(F.col(id_col).alias("doc_id"), normalise(F.col(text_col)).alias("norm"))
     recipes = materialise(
@@ -52,9 +62,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "recipes",
     )
     shared = materialise(_shared(recipes), "shared-recipes")
-    twins = materialise(recipes.join(small(shared, cells=F.size("recipe") + 2), "recipe", "left_semi").select(F.col("doc_id").alias("twin_id")).distinct(), "twins")
+    twins = recipes.join(small(shared, cells=F.size("recipe") + 2), "recipe", "left_semi").select(F.xxhash64("doc_id").alias("key")).distinct()
     pieces = (
-        source.join(small(twins), F.col("doc_id").eqNullSafe(F.col("twin_id")), "left_semi")
+        sieved(source, F.xxhash64("doc_id"), materialise(twins, "twins"), "twin")
+        .where("twin")
         .select(F.explode(chunks(F.col("norm"))).alias("chunk"))
         .select(identifier(F.col("chunk"), bits).alias("id"), "chunk")
         .distinct()
@@ -64,10 +75,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         recipes = materialise(_resolved(source, recipes, clash, bits), "recipes")
         shared = materialise(_shared(recipes), "shared-recipes")
     counted = recipes.groupBy("recipe", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
-    joined = counted.join(shared, "recipe", "left")
+    many = F.col("n") > recipes.count() // hot
+    few = materialise(shared.where(many).select("recipe", F.col("keep").alias("hot_keep"), F.col("n").alias("hot_n")), "hot-recipes")
+    counted = counted.join(small(few, cells=F.size("recipe") + 2), "recipe", "left")
+    away = F.array(F.concat(F.encode(F.lit("!"), "UTF-8"), F.unhex(F.md5(F.concat_ws(" ", F.col("text_sha256"), F.xxhash64("doc_id").cast("string"))))))
+    counted = counted.withColumn("recipe", F.when(F.col("hot_n").isNull(), F.col("recipe")).otherwise(away))  # spread, equal to none
+    joined = counted.join(shared.where(~many), "recipe", "left").withColumn("n", F.coalesce("hot_n", "n"))
     return joined.select(
         "doc_id",
-        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
+        F.when(F.col("n").isNull(), F.col("doc_id")).when(F.col("hot_n").isNull(), F.col("keep")).otherwise(F.col("hot_keep")).alias("keep_id"),
         F.coalesce("n", "copies").cast("long").alias("group_size"),
         "text_sha256",
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
@@ -84,7 +100,7 @@ def _resolved(source: DataFrame, recipes: DataFrame, clash: DataFrame, bits: int
     hit = materialise(hit.withColumnRenamed("doc_id", "hit_id"), "clash-texts")
     same = F.col("doc_id").eqNullSafe(F.col("hit_id"))
     whole = source.join(hit, same, "left_semi")
-    plain = whole.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), lambda c: F.concat(F.encode(F.lit("="), "UTF-8"), F.encode(c, "UTF-8"))).alias("recipe"))
+    plain = whole.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), lambda c: F.concat(F.encode(F.lit("="), "UTF-8"), F.encode(c, "ISO-8859-1"))).alias("recipe"))
     rest = recipes.join(hit, same, "left_anti")
     return rest.unionByName(plain)
 
