@@ -15,4 +15,4 @@ QUERIES = {
     "op10_exact_dedup": exact.query,
 }
 
-ORACLES = {"op1_mixing": mixing.ORACLE, "op7_substrings": substrings.ORACLE, "op10_exact_dedup": exact.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op7_substrings": substrings.ORACLE, "op8_chat": chat.ORACLE, "op10_exact_dedup": exact.ORACLE}

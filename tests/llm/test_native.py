@@ -4,9 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import defaultdict
 
-from cairnstore.llm import chat, decontaminate, exact, mixing
+from cairnstore.llm import chat, common, decontaminate, exact, mixing
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, recipe string, h int"
@@ -87,19 +88,37 @@ def test_exact(spark):
     r = random.Random(5)
     long = " ".join(r.choice("abcdefgh") * r.randint(1, 9) for _ in range(30_000))
     rows = corpus(3) + [(950, long), (951, long.upper()), (952, long + "x"), (953, "É"), (954, "é"), (955, "junk" * 5000), (956, "JUNK" * 5000), (957, None)]
-    for bits in (128, 4):
-        got = exact.exact_groups(table(spark, rows), bits=bits).collect()
+    rows += [(960 + i, "many copies") for i in range(40)] + [(None, "many copies"), (1000, "many copies")]
+    for bits, hot in ((128, 1000), (4, 1000), (128, 10)):
+        got = exact.exact_groups(table(spark, rows), bits=bits, hot=hot).collect()
         assert sorted((str(g.doc_id), str(g.keep_id), g.group_size, g.kept, g.text_sha256) for g in got) == exact_rows(rows)
     assert exact.exact_groups(table(spark, [])).collect() == []
 
 
 def test_chunks_are_local(spark):
+    """Whatever the script, cuts fall into step again after an edit."""
     r = random.Random(6)
-    text = " ".join(r.choice("the of and nation rates sing ea".split()) for _ in range(9000))
-    df = spark.createDataFrame([(text,), ("new start " + text,)], "t string").select(exact.chunks(exact.F.col("t")).alias("c"))
-    a, b = (x.c for x in df.collect())
-    assert "".join(a) == text and "".join(b) == "new start " + text and max(map(len, a)) <= 4096
-    assert len(set(a) & set(b)) > 0.9 * len(a)
+    pick = lambda lo, hi: "".join(chr(r.randint(lo, hi)) for _ in range(20_000))
+    texts = [" ".join(r.choice("the of and nation rates sing ea".split()) for _ in range(9000)), *(pick(*x) for x in ((0x4E00, 0x9FFF), (0x430, 0x44F), (0xE01, 0xE39), (0x905, 0x94C), (0x627, 0x649), (0xAC00, 0xD7A3), (0x3041, 0x3096)))]
+    df = spark.createDataFrame([(i, x) for i, t in enumerate(texts) for x in (t, "new start " + t)], "i int, t string").select("i", "t", exact.chunks(exact.F.col("t")).alias("c"))
+    got = sorted((x.i, len(x.t), x.t, x.c) for x in df.collect())
+    for a, b in zip(got[::2], got[1::2], strict=True):
+        for _, _, t, c in (a, b):
+            assert "".join(c).encode("latin-1").decode() == t and max(map(len, c)) <= 4096
+        assert len(set(a[3]) & set(b[3])) > 0.9 * len(a[3])
+
+
+def test_sieve(spark):
+    """No key is lost, few others pass, and joins beyond the broadcast bound give the same rows."""
+    keys = spark.range(0, 3000, 3).selectExpr("id AS k", "id * 2 AS v")
+    df = spark.range(3000).selectExpr("id AS k", "concat('t', id) AS text", "id AS bit", "'x' AS key")
+    passed = common.sieved(df, common.F.xxhash64("k"), keys.select(common.F.xxhash64("k").alias("key")), "may").where("may").collect()
+    assert {r.k for r in passed} >= set(range(0, 3000, 3)) and len(passed) < 1200
+    for limit in (10, 10_000):
+        got = common.matching(df, keys, ["k"], limit).collect()
+        assert sorted((r.k, r.v, r.text) for r in got) == [(k, 2 * k, f"t{k}") for k in range(0, 3000, 3)]
+    none = common.sieved(df, common.F.xxhash64("k"), keys.limit(0).select(common.F.xxhash64("k").alias("key")), "may")
+    assert none.where("may").count() == 0 and none.count() == 3000
 
 
 def test_masks_hit_all_windows():
@@ -179,6 +198,19 @@ def test_chat(spark):
     assert chat.read_back(chat.format_windows(table(spark, [], TURNS))).collect() == []
 
 
+def test_long_conversation(spark):
+    """Time grows with a conversation's turns, not with their square."""
+    took = {}
+    for n in (2000, 16_000, 32_000):
+        rows = [(1, t, ("user", "assistant")[t % 2], f"turn {t} says a few words of no matter") for t in range(n)]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        start = time.time()
+        (back,) = chat.read_back(chat.format_windows(df)).collect()
+        took[n] = time.time() - start
+        assert [x.text for x in back.turns] == [r[3] for r in rows] and back.loss == "".join(r[3] for r in rows[1::2])
+    assert took[32_000] < 3.2 * took[16_000] + 1
+
+
 def test_leak_of_null_item(spark):
     """An item with a null id is an item like others."""
     item = " ".join(f"word{i}" for i in range(20))
