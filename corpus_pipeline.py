@@ -6,7 +6,12 @@ words it takes of each.
 
 A row's key is its id with the hash of its text, so rows that share an id (or have none) are judged one by one: a
 stage joins its operator's keys of rows to drop. Rows that agree in id and text agree in every decision; the two
-stages of deduplication leave one of them.
+stages of deduplication leave one of them. Keys that are many are joined behind a sieve of bounded size, so that
+only texts which may be meant are shuffled, not all.
+
+Defined results: null texts count as empty, and of all empty texts one row stays; null ids, labels and sources are values
+like others; texts of any length are read whole; an empty table gives an empty result, an empty benchmark or no labels
+drop nothing; columns beside those of documents are kept as they are.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnstore.llm.common import materialise, small
+from cairnstore.llm.common import BROADCAST_ROWS, materialise, sieved
 from cairnstore.llm.decontaminate import leaks
 from cairnstore.llm.exact import exact_groups
 from cairnstore.llm.mixing import mix
@@ -35,8 +40,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """docs with (left_semi) or without (left_anti) the rows of materialised keys (d, rid)."""
-    keys = small(keys)
-    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["d"]) & (_rid(docs) == keys["rid"]), how)
+    same = lambda docs, keys: docs.join(keys, docs["doc_id"].eqNullSafe(keys["d"]) & (_rid(docs) == keys["rid"]), how)
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return same(docs, F.broadcast(keys))
+    name = f"sieve-{uuid.uuid4().hex}"
+    marked = sieved(docs, F.xxhash64(docs["doc_id"].cast("string"), _rid(docs)), keys.select(F.xxhash64(F.col("d").cast("string"), "rid").alias("key")), name)
+    some = same(marked.where(marked[name]).drop(name), keys)
+    return some if how == "left_semi" else marked.where(~marked[name]).drop(name).unionByName(some)
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
