@@ -46,6 +46,20 @@ def test_empty_and_clashing(spark, tmp_path):
         assert got == ([] if name == "none" else ["2"])
 
 
+def test_many_keys(spark, monkeypatch):
+    """Rows dropped or kept by more keys than are broadcast: the same, whatever ids and texts repeat or are null."""
+    rows = [(i if i % 9 else None, f"text {i % 70}" if i % 11 else None, "a") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid string")
+    keys = docs.where("text LIKE '%3%' OR doc_id IS NULL").select(corpus_pipeline.F.col("doc_id").alias("d"), corpus_pipeline._rid(docs).alias("rid")).distinct()
+    keys = corpus_pipeline.materialise(keys, "keys")
+    chosen = {(i if i % 9 else None, f"text {i % 70}" if i % 11 else None) for i in range(400) if not i % 9 or (i % 11 and "3" in f"{i % 70}")}
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    for limit in (10, 10_000):
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", limit)
+        assert order(corpus_pipeline._joined(docs, keys, "left_semi").collect()) == order(r for r in rows if r[:2] in chosen)
+        assert order(corpus_pipeline._joined(docs, keys, "left_anti").collect()) == order(r for r in rows if r[:2] not in chosen)
+
+
 def test_shared_ids(spark, tmp_path):
     """Rows that share an id, or have none, are judged one by one."""
     r = random.Random(3)
