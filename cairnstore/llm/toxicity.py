@@ -39,9 +39,9 @@ EXAMPLES, EXAMPLE_WORDS = 8000, 4_000_000
 FAINT, DECISIVE = 0.01, 0.04
 NEIGHBOURS, BLOCK, PRIOR, TOXIC, EVIDENCE = 16, 64, 0.5, 0.7, 3
 #: Words in at least this share of the examples are columns of the matrix, WIDEST at most.
-DENSE, WIDEST = 1 / 6, 512
-#: Texts scored at once.
-BATCH = 256
+DENSE, WIDEST = 1 / 12, 512
+#: Texts scored at once, and postings they may read (or one text).
+BATCH, READ = 64, 1 << 19
 
 
 def bags(batch: pa.RecordBatch, known: np.ndarray | None = None):
@@ -66,7 +66,7 @@ def _bags_of(batches):
     for batch in slices(batches):
         owner, h, tf = bags(batch)
         cut = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
-        parts = [(h[a:b].tobytes(), tf[a:b].astype(np.int64).tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
+        parts = [(h[a:b].tobytes(), tf[a:b].astype(np.int32).tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
         yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(np.diff(cut)), *(pa.array([x[i] for x in parts], pa.binary()) for i in range(2))], ["doc_id", "toxic", "n", "h", "tf"])
 
 
@@ -104,11 +104,11 @@ class Index:
         made = sorted((x for x in examples if len(x[2])), key=lambda x: (heavy(x[2], x[3]), x[0]))  # neighbours are alike: tight bounds
         self.ids, self.y = np.array([x[0] for x in made], np.int64), np.array([x[1] for x in made], float)
         self.blocks = max(-(-len(made) // BLOCK), 1)
-        owner = np.repeat(np.arange(len(made)), [len(x[2]) for x in made])
-        at, tf = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in made)]) for i in (2, 3))
+        owner = np.repeat(np.arange(len(made), dtype=np.int32), [len(x[2]) for x in made])
+        at, tf = (np.concatenate([np.zeros(0, np.int32), *(x[i] for x in made)]).astype(np.int32) for i in (2, 3))
         value = self.vectors(owner, at, tf, len(made))
-        order = np.argsort(at, kind="stable")
-        self.who, self.value = owner[order].astype(np.int32), value[order].astype(np.float32)
+        order = np.argsort(at, kind="stable").astype(np.int32)
+        self.who, self.value = owner[order], value[order]
         self.first = np.searchsorted(at[order], np.arange(len(known) + 1))
         held = np.diff(self.first)
         wide = np.argsort(-held, kind="stable")[:WIDEST]
@@ -125,19 +125,21 @@ class Index:
 
     def vectors(self, owner: np.ndarray, at: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
         """Weights of the words (places at, counts tf) of n texts, each of length 1."""
-        value = (1 + np.log(tf)) * self.weight[at]
-        size = np.sqrt(np.bincount(owner, value**2, n))
+        value = (1 + np.log(tf.astype(np.float32))) * self.weight.astype(np.float32)[at]
+        size = np.sqrt(np.bincount(owner, value * value, n)).astype(np.float32)
         return value / size[owner]
 
     def nearest(self, owner: np.ndarray, at: np.ndarray, tf: np.ndarray, n: int, k: int = NEIGHBOURS, alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples of each of n texts, best first; a cosine of 0 is none. alone:
         the texts are the examples, and none is its own neighbour."""
-        value, found = self.vectors(owner, at, tf, n), []
-        cut = np.searchsorted(owner, np.arange(0, n + BATCH, BATCH))
-        for i, lo in enumerate(range(0, n, BATCH)):
-            part = slice(cut[i], cut[i + 1])
-            rows = min(BATCH, n - lo)
-            found.append(self._nearest(owner[part] - lo, at[part], value[part], rows, k, np.arange(lo, lo + rows) if alone else None))
+        value, found, lo = self.vectors(owner, at, tf, n), [], 0
+        cut = np.searchsorted(owner, np.arange(n + 1))
+        read = np.concatenate([[0], np.cumsum(np.bincount(owner, np.where(self.column[at] < 0, np.diff(self.first)[at], 0), n))])
+        while lo < n:
+            hi = max(lo + 1, min(lo + BATCH, n, int(np.searchsorted(read, read[lo] + READ, "right")) - 1))
+            part = slice(cut[lo], cut[hi])
+            found.append(self._nearest(owner[part] - lo, at[part], value[part], hi - lo, k, np.arange(lo, hi) if alone else None))
+            lo = hi
         empty = np.zeros((0, k))
         return tuple(np.concatenate([empty.astype(t), *(x[j] for x in found)]) for j, t in ((0, np.int64), (1, float)))
 
@@ -146,7 +148,7 @@ class Index:
         rare = wide < 0
         begin, count = self.first[at[rare]], np.diff(self.first)[at[rare]]
         inside = np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
-        spot = np.repeat(owner[rare] * width, count) + self.who[inside]
+        spot = np.repeat(owner[rare].astype(np.int64) * width, count) + self.who[inside]
         cos = np.bincount(spot, np.repeat(value[rare], count) * self.value[inside], n * width).reshape(n, self.blocks, BLOCK)
         query = np.zeros((n, len(self.matrix)), np.float32)
         query[owner[~rare], wide[~rare]] = value[~rare]
@@ -172,12 +174,12 @@ class Index:
         todo = ~done & (bound >= least[:, None]) & (bound > 2e-5)
         cos[todo] = rest[todo]
         read(todo)
-        flat = np.rint(cos.reshape(n, width) * 1e6).astype(np.int64)
-        key = flat * width - np.arange(width)
+        cos = np.rint(cos.reshape(n, width) * 1e6)
+        key = np.arange(width) - cos * width  # whole numbers that a float holds exactly
         k = min(k, width)
-        who = np.argpartition(-key, k - 1, axis=1)[:, :k]
-        who = np.take_along_axis(who, np.argsort(-np.take_along_axis(key, who, 1), axis=1), 1)
-        near = np.take_along_axis(flat, who, 1) / 1e6
+        who = np.argpartition(key, k - 1, axis=1)[:, :k]
+        who = np.take_along_axis(who, np.argsort(np.take_along_axis(key, who, 1), axis=1), 1)
+        near = np.take_along_axis(cos, who, 1) / 1e6
         pad = NEIGHBOURS - k
         return (np.pad(who, ((0, 0), (0, pad))), np.pad(near, ((0, 0), (0, pad)))) if pad > 0 else (who, near)
 
@@ -226,19 +228,24 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, example_wo
             held += r.n
     if len(chosen) < examples:
         rows = rows.join(F.broadcast(spark.createDataFrame([(d,) for d in chosen], "doc_id long")), "doc_id", "left_semi")
-    found = sorted((r.doc_id, r.toxic, np.frombuffer(r.h, np.uint64), np.frombuffer(r.tf, np.int64)) for r in rows.collect()) if chosen else []
+    held = rows.toArrow()
+    bag = zip(held["doc_id"].to_pylist(), held["toxic"].to_pylist(), held["h"], held["tf"], strict=True)
+    found = sorted((d, y, np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(tf.as_buffer(), np.int32)) for d, y, h, tf in bag) if chosen else []
     total, toxic = len(found), sum(y for _, y, _, _ in found)
     if not 0 < toxic < total:
         return float((toxic + 0.5) / (total + 1)) if total else 0.0
     vocabulary = np.unique(np.concatenate([h for _, _, h, _ in found]))
-    placed = [(d, y, np.searchsorted(vocabulary, h), tf) for d, y, h, tf in found]
-    count = lambda label: np.bincount(np.concatenate([np.zeros(0, np.int64), *(at for _, y, at, _ in placed if y == label)]), minlength=len(vocabulary))
+    placed = [(d, y, np.searchsorted(vocabulary, h).astype(np.int32), tf.copy()) for d, y, h, tf in found]
+    held = found = bag = None
+    counts = np.zeros((2, len(vocabulary)), np.int64)
+    for _, y, at, _ in placed:
+        counts[y, at] += 1
     sent = Shared(spark, vocabulary)
     df = np.zeros(len(vocabulary) + 1)
-    for r in docs.select("text").mapInArrow(_frequencies(sent), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect():
-        df[r.place] = r.df
+    counted = docs.select("text").mapInArrow(_frequencies(sent), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
+    df[counted["place"].to_numpy()] = counted["df"].to_numpy()
     idf = 1 + np.log((1 + df[-1]) / (1 + df[:-1]))
-    return Index(vocabulary, idf * relevance(count(1), count(0), toxic, total - toxic), placed)
+    return Index(vocabulary, idf * relevance(counts[1], counts[0], toxic, total - toxic), placed)
 
 
 EVIDENCE_TYPE = "array<struct<doc_id:long,cosine:double,toxic:int>>"
