@@ -40,7 +40,7 @@ GRAM, BANDS, ROWS, THRESHOLD = 5, 20, 5, 0.8
 #: The share of all (text, distinct shingle) pairs from which on a shingle's document frequency lowers its weight.
 SHARE = 2.0**-16
 #: Pairs counted as one block, and bytes of text to a task that counts.
-COUNTED, TASK_BYTES = 1 << 22, 24 << 20
+COUNTED, TASK_BYTES = 1 << 21, 24 << 20
 #: Texts and words of a block of a large component.
 BLOCK, BLOCK_WORDS = 256, 1_000_000
 LAST = (1 << 63) - 1
