@@ -23,9 +23,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the session names none (tests)."""
+    """The folder all executors see; a temporary one only where the session names none and has no other machines (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors see")
         own = tempfile.mkdtemp(prefix="cairn-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -86,11 +88,11 @@ def sieved(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop(f"{name}_map")
 
 
-def matching(df: DataFrame, keys: DataFrame, on: list[str], limit: int | None = None) -> DataFrame:
+def matching(df: DataFrame, keys: DataFrame, on: list[str], limit: int | None = None, cells: Column | None = None) -> DataFrame:
     """df joined with keys, a materialised table, on columns without nulls. Many keys: only rows that pass a sieve are
-    shuffled."""
+    shuffled. cells: values of 8 bytes that each row of keys holds, if rows are not of fixed width."""
     limit = BROADCAST_ROWS if limit is None else limit
-    if keys.limit(limit + 1).count() <= limit:
+    if (keys.limit(limit + 1).count() if cells is None else keys.agg(F.coalesce(F.sum(cells), F.lit(0))).first()[0]) <= limit:
         return df.join(F.broadcast(keys), on)
     name = f"sieve-{uuid.uuid4().hex}"
     kept = sieved(df, F.xxhash64(*on), keys.select(F.xxhash64(*on).alias("key")), name)

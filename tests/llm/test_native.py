@@ -136,7 +136,9 @@ def leaks(docs, items):
             x = tok(x)
             n = min(13, len(x))
             need = 11 if len(x) >= 13 else len(x)
-            if len(x) >= 6 and any(sum(0 <= s + j < len(w) and w[s + j] == x[j] for j in range(o, o + n)) >= need for s in range(-len(x), len(w)) for o in range(len(x) - n + 1)):
+            if 0 < len(x) < 6:
+                out |= {(d, i)} if w == x else set()
+            elif x and any(sum(0 <= s + j < len(w) and w[s + j] == x[j] for j in range(o, o + n)) >= need for s in range(-len(x), len(w)) for o in range(len(x) - n + 1)):
                 out.add((d, i))
     return out
 
@@ -158,6 +160,8 @@ def test_leaks(spark):
             w[p:p] = x[: r.randint(1, len(x))] if d % 3 else x
         docs.append((d, "; ".join(w).title() if d % 5 else " ".join(w)))
     docs += [(500, None), (501, ""), (502, "..."), (3, docs[3][1])]
+    docs += [(600 + i, x.upper()) for i, x in items if x and len(x.split()) < 6]
+    assert len(docs) > 124
     got = decontaminate.leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(g.doc_id, g.item_id) for g in got} == leaks(docs, items) and len(got) == len({(g.doc_id, g.item_id) for g in got})
     assert decontaminate.leaks(table(spark, []), spark.createDataFrame(items, "item_id long, text string")).collect() == []
@@ -211,6 +215,22 @@ def test_long_conversation(spark):
     assert took[32_000] < 3.2 * took[16_000] + 1
 
 
+def test_leaks_beyond_broadcast(spark, monkeypatch):
+    """Many seeds and many hits go through sieves; repeated words make many alignments, in stretches."""
+    r = random.Random(9)
+    items = [(i, " ".join(f"w{r.randrange(40)}" for _ in range(20))) for i in range(30)] + [(50, "same " * 30), (51, "same " * 15 + "other " * 9)]
+    docs = [(d, " ".join([f"w{r.randrange(40)}" for _ in range(30)] + (items[d % 30][1].split() if d % 3 else []))) for d in range(90)]
+    docs += [(100, "same " * 1500), (None, "same " * 40 + "other " * 8)]
+    frames = [spark.createDataFrame(x, f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id"))]
+    want = leaks(docs, items)
+    for rows, cells, spread in ((common.BROADCAST_ROWS, decontaminate.CELLS, decontaminate.SPREAD), (20, 20, 64)):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        monkeypatch.setattr(decontaminate, "SPREAD", spread)
+        assert {(g.doc_id, g.item_id) for g in decontaminate.leaks(*frames).collect()} == want
+    assert {(100, 50), (None, 51)} <= want
+
+
 def test_leak_of_null_item(spark):
     """An item with a null id is an item like others."""
     item = " ".join(f"word{i}" for i in range(20))
