@@ -3,7 +3,8 @@
 The vocabulary is a trie with failure links: when a word can't be matched further, the link of the state goes to
 the state for what is left of it after the longest tokens have been taken off the front, and the count of tokens
 taken off is stored with the link. So a word's greedy longest-match count is read in one pass, without building a
-piece. All distinct words of a batch are read in step, one character each time, as arrays.
+piece. All distinct words of a batch are read in step, one character each time, as arrays; the last few, longer than all
+others, are read one by one. Words of a batch are told apart by 64-bit hashes.
 
 Words are split at white space and begin with the vocabulary's word mark. A character that begins no piece by
 itself counts as its UTF-8 bytes (byte fallback), and cuts the word.
@@ -28,6 +29,8 @@ MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most characters of distinct words read in step at once.
 AT_ONCE = 1 << 18
+#: Words left from which on each is read by itself.
+FEW = 12
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
@@ -86,6 +89,7 @@ class Automaton:
             first[ord(c)] = n
         self.first = first
         code = np.arange(0x110000)
+        self.edges: dict[int, int] | None = None
         self.bytes = (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)).astype(np.int8)
 
     def counts(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -99,6 +103,10 @@ class Automaton:
         running = n
         for i in range(int(length[0]) if n else 0):
             running = int(np.searchsorted(-length, -i, "left"))
+            if running <= FEW:
+                for j in range(running):
+                    state[j], total[j] = self._alone(chars[start[j] + i : start[j] + length[j]].tolist(), int(state[j]), int(total[j]))
+                break
             c = chars[start[:running] + i].astype(np.int64)
             todo = np.arange(running)
             while len(todo):
@@ -124,6 +132,24 @@ class Automaton:
         out[order] = total
         return out
 
+    def _alone(self, chars: list[int], s: int, total: int) -> tuple[int, int]:
+        """State and tokens after more characters of one word."""
+        if self.edges is None:
+            self.edges = dict(zip(self.edge[:-1].tolist(), self.to[:-1].tolist(), strict=True))
+            self.links = self.fail.tolist(), self.popped.tolist()
+        edges, (fail, popped) = self.edges, self.links
+        for c in chars:
+            to = edges.get(s << 21 | c)
+            while to is None and s:
+                total += popped[s]
+                s = fail[s]
+                to = edges.get(s << 21 | c)
+            if to is None:
+                total += 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+            else:
+                s = to
+        return s, total
+
 
 def _count(automaton):
     def run(batches):

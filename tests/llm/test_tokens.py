@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from unittest.mock import patch
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,7 +37,22 @@ def count(automaton, ws):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("abc▁é", min_size=1, max_size=5), max_size=12), st.lists(st.text("abcdé𝄞", min_size=1, max_size=14), min_size=1, max_size=8))
 def test_greedy(pieces, ws):
-    assert count(tokens.Automaton(pieces), ws) == [greedy(w, set(pieces), None) for w in ws]
+    automaton = tokens.Automaton(pieces)
+    for few in (0, 3, 12):
+        with patch.object(tokens, "FEW", few):
+            assert count(automaton, ws) == [greedy(w, set(pieces), None) for w in ws]
+
+
+def test_long_words():
+    """A word without end is read by itself, to the same count and at a bounded price a character."""
+    r = random.Random(2)
+    automaton, long = tokens.Automaton(tokens.vocabulary()), ["".join(r.choice("aeinorstdéü🙂") for _ in range(20_000)), "a" * 20_001]
+    with patch.object(tokens, "FEW", 0):
+        want = count(automaton, long)
+    assert count(automaton, long) == want
+    start = time.time()
+    count(automaton, ["abcdefghij" * 100_000])
+    assert time.time() - start < 20
 
 
 def test_vocabulary():
