@@ -1,11 +1,12 @@
 """License scans by MinHash bands over overlapping windows of text.
 
 Texts and templates are folded into words and those into five-word shingles (a template of fewer words is left
-out). Templates are looked up in windows of 1, 4 or 16 shingles, the most that the template holds; a text's windows
-overlap by half, a template's start at every shingle. Two windows whose shingles are equal share all bands, and of a similarity
-of 0.8 they share one of 16 bands of two rows with a probability of 0.9999999 (8 bands for windows of four:
-0.9997), so a template that stands whole in a text is always retrieved. A retrieved template is then verified: the share
-of its distinct shingles that stand within one and a quarter of its length has to reach the threshold.
+out). Templates are looked up in windows of 1, 4 or 16 shingles; a text's windows of 16 begin at every eighth shingle,
+the others at every one, a template's at every one. A template has windows of the largest size of which one stands whole
+inside it wherever it begins (16 from 23 shingles on, 4 from 4 on). Two windows whose shingles are equal share all
+bands, and of a similarity of 0.8 they share one of 16 bands of two rows with a probability of 0.9999999 (8 bands for
+windows of four: 0.9997), so a template that stands whole in a text is always retrieved. A retrieved template is then
+verified: the share of its distinct shingles that stand within one and a quarter of its length has to reach the threshold.
 
 Defined results: null and empty texts have no match; matches of one template in a text don't overlap; rows that
 repeat an id and a text repeat its matches; an empty table gives an empty result. Columns beside id and text are
@@ -24,7 +25,7 @@ from .words import mix, shingles, words
 
 GRAM, THRESHOLD, REACH = 5, 0.8, 1.25
 #: Window in shingles, its step in texts, bands and rows of a band.
-CLASSES = ((1, 1, 1, 1), (4, 2, 8, 2), (16, 8, 16, 2))
+CLASSES = ((1, 1, 1, 1), (4, 1, 8, 2), (16, 8, 16, 2))
 
 #: Public license notices.
 TEMPLATES = {
@@ -98,7 +99,7 @@ class Templates:
             g = shingles(w.hashes(), GRAM)
             if not len(g):
                 continue
-            size, _, bands, rows = max(c for c in CLASSES if c[0] <= len(g))
+            size, _, bands, rows = max(c for c in CLASSES if c[0] + c[1] - 1 <= len(g))
             found[size] += [(key, len(self.names)) for _, key in window_bands(g, size, 1, bands, rows)]
             self.names.append(name)
             self.sets.append(np.unique(g))

@@ -51,3 +51,17 @@ def test_places():
     g = licenses.shingles(w.hashes(), 5)
     t = licenses.Templates({"m": licenses.TEMPLATES["mit-line"]})
     assert licenses.matches(g, t.sets[0], t.words[0], 0.8) == [(2, 7, 1.0), (8, 13, 1.0)]
+
+
+def test_whole_templates_are_retrieved():
+    """A template of any number of shingles, wherever in a batch it begins."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    for n in (5, 7, 8, 9, 19, 20, 23, 26, 27, 40):
+        for _ in range(8):
+            body = " ".join(word() for _ in range(n))
+            t = licenses.Templates({"t": body})
+            for before in range(9):
+                text = " ".join([*(word() for _ in range(before)), body, *(word() for _ in range(5))])
+                g = licenses.shingles(licenses.words(pa.array([text], pa.large_string()), fold=True).hashes(), 5)
+                assert t.retrieve(g)
