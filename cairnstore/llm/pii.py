@@ -9,8 +9,8 @@ at most once, so work is linear. Base kinds, leftmost and non-overlapping within
   card   digits with single spaces or hyphens between, 14 to 19 of them, passing Luhn's check
   phone  + and a digit, then digits, spaces, brackets, dots, hyphens, to a digit: 10 to 15 digits
 
-Added kinds: url (http, https or ftp address) and account (an identifier of 6 or more letters, digits and hyphens,
-4 or more of them digits, that follows a cue).
+Added kinds: url (http, https or ftp address) and account (what follows a cue: an IBAN, in groups or not, that passes its
+check digits, or else a run of 6 or more letters, digits, hyphens and underlines, 4 or more of them digits, to its end).
 
 Defined results: null texts are empty; one row per row; positions are code points, ends exclusive; a null id stays
 null; an empty table gives an empty result. Columns beside id and text are left alone.
@@ -38,7 +38,30 @@ NUMBER = re.compile(r"[0-9]+")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ADDRESS = re.compile(r"[^\s<>\"'`{}|\\^]+")
-AFTER_CUE = re.compile(r"(?:[\x20:=#\"']|number|no\.|nr\.|is\b){1,12}([A-Za-z0-9][A-Za-z0-9-]{5,63})(?![A-Za-z0-9-])", re.IGNORECASE)
+AFTER_CUE = re.compile(r"(?:[\x20:=#\"']|number|no\.|nr\.|is\b){1,12}(?=[A-Za-z0-9])", re.IGNORECASE)
+IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{5,}")
+#: Country, check digits, then 11 to 30 characters, single spaces between.
+IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])")
+
+
+def iban_end(text: str, at: int) -> int:
+    """End of the longest IBAN that begins here, of whole groups; 0 if there is none."""
+    found = IBAN.match(text, at)
+    while found:
+        held = found[0].replace(" ", "").upper()
+        if int("".join(str(int(c, 36)) for c in held[4:] + held[:4])) % 97 == 1:
+            return found.end()
+        cut = found[0].rfind(" ")
+        found = IBAN.fullmatch(text, at, at + cut) if cut > 0 else None
+    return 0
+
+
+def account_end(text: str, at: int) -> int:
+    """End of an account or other identifier that begins here, 0 if there is none."""
+    if end := iban_end(text, at):
+        return end
+    found = IDENTIFIER.match(text, at)
+    return found.end() if found and sum(c.isdigit() for c in found[0]) >= 4 else 0
 
 
 def luhn(digits: str) -> bool:
@@ -103,9 +126,9 @@ def scan(text: str, anchors) -> list[tuple[int, int, int]]:
         elif kind == "a":
             begin = last + 1 - size
             if begin >= end[5] and not (begin and text[begin - 1].isalnum()) and (found := AFTER_CUE.match(text, last + 1)):
-                if sum(c.isdigit() for c in found[1]) >= 4:
-                    spans.append((found.start(1), 5, found.end(1)))
-                    end[5] = found.end(1)
+                if stop := account_end(text, found.end()):
+                    spans.append((found.end(), 5, stop))
+                    end[5] = stop
     spans.sort()
     return spans
 
