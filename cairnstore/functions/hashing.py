@@ -46,9 +46,8 @@ def crc_matches(data: Column, expected: Column) -> Column:
 def etag(data: Column, part_bytes: int) -> Column:
     """The tag of an upload in parts of a size: MD5 of the parts' MD5s and their number."""
     count = F.greatest(F.ceil(F.octet_length(data) / part_bytes), F.lit(1)).cast("int")
-    sums = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.unhex(F.md5(F.substring(data, i * part_bytes + 1, F.lit(part_bytes)))))
-    joined = F.aggregate(sums, F.unhex(F.lit("")), lambda a, x: F.concat(a, x))
-    return F.concat(F.md5(joined), F.lit("-"), count.cast("string"))
+    sums = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.md5(F.substring(data, i * part_bytes + 1, F.lit(part_bytes))))
+    return F.concat(F.md5(F.unhex(F.array_join(sums, ""))), F.lit("-"), count.cast("string"))
 
 
 def etag_matches(data: Column, tag: Column, part_sizes: tuple[int, ...] = PART_SIZES, unit: int = 1 << 20) -> Column:

@@ -90,13 +90,17 @@ def journal_line(kind: Column, file: Column, md5: Column) -> Column:
     return F.concat_ws(" ", (F.length(rest) + 1).cast("string"), rest)
 
 
-#: A line's length, what that counts, and the fields of it.
-LINE = rf"(?s)^([0-9]+) (({START}|{STOP}|{FINISHED})(?: (.+) ([^ ]*?))?)\r*\z"
-
-
 def parse_journal(line: Column) -> Column:
-    """struct(typ, file, md5); null if the length is wrong, the kind unknown or its fields are missing."""
-    size, rest, typ, file, md5 = (F.regexp_extract(line, LINE, i) for i in range(1, 6))
-    done = typ == FINISHED
-    whole = (size.try_cast("int") == F.length(rest) + 1) & (done == (file != ""))
-    return F.when(whole, F.struct(typ.alias("typ"), F.when(done, file).alias("file"), F.when(done, md5).alias("md5")))
+    """struct(typ, file, md5); null if the length is wrong, the kind unknown or its fields are missing. A line is cut
+    at its blanks once; a file's name may have blanks, the sum after it has none."""
+
+    def read(p: Column) -> Column:
+        size, typ, n = F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.size(p)
+        file, md5 = F.array_join(F.slice(p, 3, F.greatest(n - 3, F.lit(0))), " "), F.element_at(p, -1)
+        rest = F.length(F.array_join(F.slice(p, 2, F.greatest(n - 1, F.lit(0))), " "))
+        counted = (size != "") & (F.translate(size, "0123456789", "") == "") & (size.try_cast("int") == rest + 1)
+        done = (typ == FINISHED) & (n > 3) & (file != "")
+        ended = typ.isin(START, STOP) & (n == 2)
+        return F.when(counted & (done | ended), F.struct(typ.alias("typ"), F.when(done, file).alias("file"), F.when(done, md5).alias("md5")))
+
+    return F.get(F.transform(F.array(F.split(F.rtrim(line, F.lit("\r")), " ", -1)), read), F.lit(0))

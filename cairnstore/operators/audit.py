@@ -14,6 +14,11 @@ def _problem(kind: str, subject, detail):
     return F.lit(kind).alias("kind"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail")
 
 
+def _named(rows: DataFrame):
+    """A hash as a subject: binary ones by their hexadecimal digits."""
+    return F.lower(F.hex("hash")) if dict(rows.dtypes)["hash"] == "binary" else F.col("hash")
+
+
 def chunk_status(needed: DataFrame, chunks: DataFrame, volumes: DataFrame) -> DataFrame:
     """hash, status for each distinct needed hash: ok, missing, or out of bounds of its volume.
 
@@ -24,12 +29,15 @@ def chunk_status(needed: DataFrame, chunks: DataFrame, volumes: DataFrame) -> Da
 
 
 def chunk_problems(needed: DataFrame, chunks: DataFrame, volumes: DataFrame) -> DataFrame:
-    return chunk_status(needed, chunks, volumes).where("status <> 'ok'").select(*_problem("chunk", F.col("hash"), F.col("status")))
+    rows = chunk_status(needed, chunks, volumes).where("status <> 'ok'")
+    return rows.select(*_problem("chunk", _named(rows), F.col("status")))
 
 
 def content_problems(payload: DataFrame, digest) -> DataFrame:
     """payload: hash, content; digest(column): content whose hash differs, or that can't be read."""
-    return payload.where(F.col("content").isNull() | (digest(F.col("content")) != F.col("hash"))).select(*_problem("content", F.col("hash"), F.lit("hash differs")))
+    return payload.where(F.col("content").isNull() | (digest(F.col("content")) != F.col("hash"))).select(
+        *_problem("content", _named(payload), F.when(F.col("content").isNull(), "lost or unreadable").otherwise("hash differs"))
+    )
 
 
 def complete(recipes: DataFrame, chunks: DataFrame, key: str = "path") -> DataFrame:
@@ -44,6 +52,14 @@ def orphans(files: DataFrame, folders: DataFrame) -> DataFrame:
     return rows.join(folders.select(F.col("path").alias("parent")).distinct(), "parent", "left_anti").select(*_problem("folder", F.col("path"), F.col("parent")))
 
 
+def snapshot_orphans(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """Files (snapshot_ts, path) whose parent isn't among the folders (snapshot_ts, path) of their snapshot, where that
+    has folders at all."""
+    rows = files.join(folders.select("snapshot_ts").distinct(), "snapshot_ts", "left_semi").withColumn("parent", paths.parent(F.col("path")))
+    lost = rows.join(folders.select("snapshot_ts", F.col("path").alias("parent")), ["snapshot_ts", "parent"], "left_anti")
+    return lost.select(*_problem("folder", F.col("path"), F.col("parent"))).distinct()
+
+
 def snapshot_problems(members: DataFrame, versions: DataFrame) -> DataFrame:
     """members: snapshot_ts, id. One problem for each snapshot with an id that has no version."""
     lost = members.join(versions.select("id"), "id", "left_anti").groupBy("snapshot_ts").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,19 @@ from ..functions.names import FINISHED, START, journal_line, parse_journal
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """seq, value of a journal's lines; seq follows the order in the file."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), "value")
+    """seq, value of a journal's lines. seq follows the order of writing: the time of the append, then the file, the
+    part of the file and the line in it."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(path)
+    at = F.regexp_extract("_metadata.file_path", "append=([0-9]+)", 1).try_cast("long")
+    seq = F.struct(F.coalesce(at, F.lit(0)).alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"))
+    return rows.select(seq.alias("seq"), "value")
 
 
 def append(lines: DataFrame, path: str) -> None:
-    """Adds lines (typ, file, md5) as text, whole files at a time."""
-    lines.select(journal_line(F.col("typ"), F.col("file"), F.col("md5")).alias("value")).write.mode("append").text(path)
+    """Adds lines (typ, file, md5; in order of seq if there is one) as text, whole files at a time, in a folder named by the time."""
+    rows = lines.orderBy("seq") if "seq" in lines.columns else lines
+    rows = rows.select(journal_line(F.col("typ"), F.col("file"), F.col("md5")).alias("value"))
+    rows.write.text(f"{path.rstrip('/')}/append={time.time_ns()}")
 
 
 def entries(lines: DataFrame) -> DataFrame:

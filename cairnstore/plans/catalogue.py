@@ -522,7 +522,11 @@ def _scratch(spark: SparkSession) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors see")
+        base = "file://" + tempfile.gettempdir()
     path = f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -551,9 +555,10 @@ def stream_chunks(spark, sf):
     def put(batch: DataFrame, number: int) -> None:
         path = F.col("doc_id").cast("string").alias("path")
         rows = dedup.hashed(chunking.fixed_chunks(batch.select(path, "text"), CHUNK, "text")).select("hash").distinct()
-        if number:
-            rows = rows.join(spark.read.schema("hash string").parquet(f"{out}/chunks"), "hash", "left_anti")
-        rows.write.mode("append").parquet(f"{out}/chunks")
+        # a batch has a folder of its own, so one that is run again after a crash replaces what it wrote
+        earlier = spark.read.schema("hash string, batch long").parquet(f"{out}/chunks").where(F.col("batch") < number)
+        rows.join(earlier, "hash", "left_anti").write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
 
+    spark.createDataFrame([], "hash string").write.parquet(f"{out}/chunks/batch=-1")
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("hash string").parquet(f"{out}/chunks")
+    return spark.read.schema("hash string, batch long").parquet(f"{out}/chunks").select("hash")

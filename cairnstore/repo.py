@@ -5,6 +5,10 @@
 Every write belongs to a run. A run writes payloads, then the chunk index, then versions, then the snapshot, and at
 last one journal row that publishes it; readers take only rows of published runs, so a run that broke off at
 any point is not seen, and the next one starts clean. Chunks are found by hash; payloads are not read to back up.
+
+The lock holds its writer's run; a run publishes only while the lock is still its own, and rows of unfinished runs are
+deleted only under the lock. A file whose content can't be read is not stored as an empty one: what the newest snapshot
+has of it stays, and the backup counts it as unreadable.
 """
 
 from __future__ import annotations
@@ -67,7 +71,7 @@ class SnapshotRepo:
         rows = self.spark.read.schema(TABLES[name]).parquet(path) if _exists(self.spark, path) else self.spark.createDataFrame([], TABLES[name])
         if name == "journal" or not published:
             return rows
-        return rows.join(F.broadcast(self.table("journal").where("typ = 'Stop_Writing'").select("run").distinct()), "run", "left_semi")
+        return rows.join(self.table("journal").where("typ = 'Stop_Writing'").select("run"), "run", "left_semi")
 
     def _write(self, df: DataFrame, name: str, run: str) -> None:
         want = self.spark.createDataFrame([], TABLES[name]).schema
@@ -80,35 +84,52 @@ class SnapshotRepo:
         self.spark.createDataFrame(rows, TABLES["journal"]).coalesce(1).write.mode("append").parquet(f"{self.root}/journal")
 
     @contextmanager
-    def _writing(self) -> Iterator[str]:
-        """One writer at a time; a run that fails leaves its start without a stop."""
+    def _locked(self, run: str) -> Iterator[None]:
         lock = f"{self.root}/lock"
-        if not _create(self.spark, lock):
-            raise InUse(f"{self.root} is being written to; remove {lock} if its writer is gone")
-        run = uuid.uuid4().hex
+        if not _create(self.spark, lock, run):
+            raise InUse(f"{self.root} is being written to by {_read(self.spark, lock)}; clean(force=True) if that writer is gone")
         try:
-            self._journal("Start_Writing", run)
-            yield run
-            self._journal("Stop_Writing", run)
+            yield
         finally:
-            _delete(self.spark, lock)
-            _delete(self.spark, f"{self.root}/staging-{run}")
+            if _read(self.spark, lock) == run:
+                _delete(self.spark, lock)
+
+    @contextmanager
+    def _writing(self) -> Iterator[str]:
+        """One writer at a time; a run that fails, or lost its lock, leaves its start without a stop."""
+        run = uuid.uuid4().hex
+        with self._locked(run):
+            try:
+                self._journal("Start_Writing", run)
+                yield run
+                if _read(self.spark, f"{self.root}/lock") != run:
+                    raise InUse(f"the lock of {run} was taken away; it is not published")
+                self._journal("Stop_Writing", run)
+            finally:
+                _delete(self.spark, f"{self.root}/staging-{run}")
 
     def unfinished(self) -> DataFrame:
-        """Runs that started and did not stop; the running one among them."""
+        """Runs that started, did not stop and were not removed; the running one among them."""
         j = self.table("journal")
-        return j.where("typ = 'Start_Writing'").join(j.where("typ = 'Stop_Writing'").select("run"), "run", "left_anti")
-
-    def clean(self) -> int:
-        """Deletes rows of unfinished runs by rewriting nothing: they are dropped from their files' tables. Returns
-        the number of such runs."""
-        gone = [r.run for r in self.unfinished().select("run").collect()]
-        for name in TABLES:
-            if gone and name != "journal" and _exists(self.spark, f"{self.root}/{name}"):
-                rows = self.table(name, published=False).withColumn("f", F.input_file_name())
-                for r in rows.where(F.col("run").isin(gone)).select("f").distinct().collect():
-                    _delete(self.spark, r.f)
-        return len(gone)
+        return j.where("typ = 'Start_Writing'").join(j.where("typ IN ('Stop_Writing', 'Removed')").select("run"), "run", "left_anti")
+
+    def clean(self, force: bool = False) -> int:
+        """Deletes the files that unfinished runs wrote and returns the number of such runs. Nobody may be writing;
+        force takes the lock of a writer that is gone, and one that is not gone after all won't publish."""
+        if force:
+            _delete(self.spark, f"{self.root}/lock")
+        with self._locked(f"clean-{uuid.uuid4().hex}"):
+            gone = self.unfinished().select("run")
+            number = gone.count()
+            for name in TABLES:
+                if number and name != "journal" and _exists(self.spark, f"{self.root}/{name}"):
+                    rows = self.table(name, published=False).withColumn("f", F.input_file_name())
+                    for r in rows.join(gone, "run", "left_semi").select("f").distinct().toLocalIterator():
+                        _delete(self.spark, r.f)
+            if number:
+                rows = gone.select(F.lit(0).cast("long").alias("seq"), F.lit("Removed").alias("typ"), "run", F.current_timestamp().alias("at"))
+                self.spark.createDataFrame(rows.collect(), TABLES["journal"]).coalesce(1).write.mode("append").parquet(f"{self.root}/journal")
+            return number
 
     # hashes and payloads
 
@@ -128,7 +149,8 @@ class SnapshotRepo:
         """entries: a folder's path, or rows of path, is_folder, size, mtime_ms, content (and attributes).
 
         Files whose path, size and time agree with the newest snapshot, and whose chunks are all there, are not
-        opened again. Returns counts; snapshot is False where nothing differs from the newest one.
+        opened again. A file without content (null) that would have to be is unreadable: the known version of its path
+        stays in the snapshot. Returns counts; snapshot is False where nothing differs from the newest one.
         """
         if isinstance(entries, str):
             entries = scan(self.spark, entries, self.config.ignore, content=True, links=self.config.save_symlinks)
@@ -139,7 +161,9 @@ class SnapshotRepo:
             tagged = changes.classify(entries.where("NOT is_folder"), known)
             whole = audit.complete(known, self.table("chunks")).where("complete").select(F.col("path").alias("whole_path"))
             tagged = tagged.join(whole, F.col("path") == F.col("whole_path"), "left")
-            keep = F.lit(not force_rehash) & (F.col("status") == "unchanged") & F.col("whole_path").isNotNull()
+            same = F.lit(not force_rehash) & (F.col("status") == "unchanged") & F.col("whole_path").isNotNull()
+            unreadable = ~same & F.col("content").isNull()
+            keep = same | unreadable
             stage = f"{self.root}/staging-{run}"
             old = tagged.where(keep).join(known.select("path", "id"), "path").select("id")
             fresh = tagged.where(~keep & (F.col("status") != "storing"))
@@ -152,7 +176,7 @@ class SnapshotRepo:
             new = new.withColumn("ext", paths.codec_key(F.col("path")))
             if self.config.codec == "smart":
                 won = policy.choose(new.select("ext", "hash", "length", "content"))
-                new = new.join(F.broadcast(won.select("ext", F.col("codec").alias("won"))), "ext", "left")
+                new = new.join(won.select("ext", F.col("codec").alias("won")), "ext", "left")
                 new = new.withColumn("codec", codecs.policy(F.col("length"), F.col("won")))
             else:
                 new = new.withColumn("codec", F.lit(self.config.codec))
@@ -179,7 +203,8 @@ class SnapshotRepo:
             different = ids.limit(1).count() > 0 and changes.is_different(self.members(), ids)
             if different:
                 self._write(ids.withColumn("snapshot_ts", F.lit(at)), "snapshots", run)
-            counts = {r.status: r["count"] for r in tagged.groupBy("status").count().collect()}
+            status = F.when(unreadable & (F.col("status") != "storing"), "unreadable").otherwise(F.col("status"))
+            counts = {r.status: r["count"] for r in tagged.groupBy(status.alias("status")).count().collect()}
         return {"run": run, "snapshot": different, "new_chunks": self.table("chunks").where(F.col("run") == run).count(), **counts}
 
     # reading
@@ -244,16 +269,20 @@ class SnapshotRepo:
         return self.files(as_of).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
     def verify(self, percent: float = 100) -> DataFrame:
-        """kind, subject, detail: every snapshot's versions, every chunk's place and content, every file's folder."""
+        """kind, subject, detail: every snapshot's versions, every chunk's place and content, every file's folder (in
+        snapshots that have folders). A chunk without payload is a problem, whatever the index says."""
         files = audit.sampled(self.table("versions"), percent)
         needed = files.select(F.explode("hashes").alias("hash"))
-        volumes = self.table("volumes")
+        volumes, snapshots = self.table("volumes"), self.table("snapshots")
         ends = volumes.groupBy("volume").agg(F.max(F.col("start") + F.octet_length("content")).alias("volume_length"))
-        payload = needed.distinct().join(volumes.select("hash", F.col("content").alias("sealed")), "hash").select("hash", self._unpacked(F.col("sealed")).alias("content"))
+        payload = needed.distinct().join(volumes.select("hash", F.col("content").alias("sealed")), "hash", "left").select("hash", self._unpacked(F.col("sealed")).alias("content"))
+        members = snapshots.where("kind = 'file'").join(files.select("id", "path"), "id").select("snapshot_ts", "path")
+        folders = snapshots.where("kind = 'folder'").join(self.table("folders").select("id", "path"), "id").select("snapshot_ts", "path")
         return (
-            audit.snapshot_problems(self.table("snapshots").where("kind = 'file'"), self.table("versions"))
+            audit.snapshot_problems(snapshots.where("kind = 'file'"), self.table("versions"))
             .unionByName(audit.chunk_problems(needed, self.table("chunks"), ends))
             .unionByName(audit.content_problems(payload, self.digest))
+            .unionByName(audit.snapshot_orphans(members, folders))
         )
 
     def browse(self, folder: str = "", as_of: datetime | str | None = None, recursive: bool = False, search: str = "") -> DataFrame:
@@ -303,10 +332,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _create(spark: SparkSession, path: str) -> bool:
+def _create(spark: SparkSession, path: str, content: str) -> bool:
     fs, p = _fs(spark, path)
     fs.mkdirs(p.getParent())
-    return fs.createNewFile(p)
+    if not fs.createNewFile(p):
+        return False
+    out = fs.create(p, True)
+    out.writeUTF(content)
+    out.close()
+    return True
+
+
+def _read(spark: SparkSession, path: str) -> str | None:
+    """What _create wrote; null for a file of another make or none."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p) or fs.getFileStatus(p).getLen() < 2:
+        return None
+    held = fs.open(p)
+    try:
+        return held.readUTF()
+    finally:
+        held.close()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -17,8 +17,9 @@ def export_json(df: DataFrame, path: str) -> None:
 def import_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows, and lines that don't fit the schema."""
     shape = T.StructType([*spark.createDataFrame([], schema).schema, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(shape).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    return rows.where("_bad IS NULL").drop("_bad"), rows.where("_bad IS NOT NULL").select(F.col("_bad").alias("line"))
+    read = F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(read.alias("r"), F.col("value").alias("line"))
+    return rows.where("r._bad IS NULL").select("r.*").drop("_bad"), rows.where("r._bad IS NOT NULL").select("line")
 
 
 def write_repeat_script(path: str, repository: str, folder: str) -> bool:

@@ -1,7 +1,8 @@
 """A file tree as a data source: `spark.read.format("filetree").option("path", ...)`.
 
 Gives files and folders, empty and hidden ones too, which the built-in file sources leave out; symbolic links only
-with the option `links`. One partition per `slice` of the root's entries, so large trees are walked in parallel.
+with the option `links`. The first levels, until there are many folders, are listed to plan; what is below is walked
+in parallel, so neither one deep folder nor a wide root is a single task.
 Options: path, ignore (globs by line, relative to path; a matching folder is not entered), content (true: read bytes),
 links. Entries that can't be read are passed over. All executors must see the path.
 """
@@ -13,13 +14,16 @@ import re
 import stat
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import glob_regex
 
 SCHEMA = "path string, is_folder boolean, size long, mtime_ms long, ctime_ms long, owner string, grp string, permissions string, hidden boolean, readonly boolean, link_target string, content binary"
-FAN = 64
+#: Partitions, entries to deal over them, and levels that are listed to get so many.
+FAN, ENTRIES, LEVELS = 64, 512, 4
 
 
 def ignore_globs(text: str) -> list[str]:
@@ -28,9 +32,11 @@ def ignore_globs(text: str) -> list[str]:
 
 
 class Slice(InputPartition):
-    def __init__(self, number: int, of: int) -> None:
+    """Entries of the tree, each with whether it is entered."""
+
+    def __init__(self, number: int, entries: list[tuple[str, bool]]) -> None:
         super().__init__(number)
-        self.number, self.of = number, of
+        self.entries = entries
 
 
 class TreeReader(DataSourceReader):
@@ -40,34 +46,39 @@ class TreeReader(DataSourceReader):
         self.content = options.get("content", "false").lower() == "true"
         self.links = options.get("links", "false").lower() == "true"
 
-    def partitions(self):
+    def _pattern(self):
+        return re.compile("|".join(f"(?:{glob_regex(g)})" for g in self.globs)) if self.globs else None
+
+    def _inside(self, folder: str, pattern) -> list[str]:
+        """Entries of a folder that aren't ignored; none of what is no folder, a link or can't be read."""
+        if os.path.islink(folder) and folder != self.root:
+            return []
         try:
-            entries = len(os.listdir(self.root))
+            names = sorted(os.listdir(folder))
         except OSError:
-            entries = 0
-        n = max(1, min(FAN, entries))
-        return [Slice(i, n) for i in range(n)]
+            return []
+        found = [os.path.join(folder, x) for x in names]
+        return [x for x in found if not (pattern and pattern.match(os.path.relpath(x, self.root)))]
+
+    def partitions(self):
+        pattern, done, front = self._pattern(), [(self.root, False)], self._inside(self.root, self._pattern())
+        for _ in range(LEVELS):
+            if len(done) + len(front) >= ENTRIES or not front:
+                break
+            done += [(x, False) for x in front]
+            front = [y for x in front for y in self._inside(x, pattern)]
+        done += [(x, True) for x in front]
+        n = min(FAN, len(done))
+        return [Slice(i, done[i::n]) for i in range(n)]
 
     def read(self, part: Slice) -> Iterator[tuple]:
-        pattern = re.compile("|".join(f"(?:{glob_regex(g)})" for g in self.globs)) if self.globs else None
-        if part.number == 0:
-            yield from self._row(self.root, None)
-        try:
-            names = sorted(os.listdir(self.root))
-        except OSError:
-            return
-        todo = [os.path.join(self.root, x) for x in names[part.number :: part.of]][::-1]
+        pattern, todo = self._pattern(), part.entries[::-1]
         while todo:
-            path = todo.pop()
-            if pattern and pattern.match(os.path.relpath(path, self.root)):
-                continue
-            link = os.path.islink(path)
+            path, deep = todo.pop()
+            link = os.path.islink(path) and path != self.root
             yield from self._row(path, os.readlink(path) if link else None)
-            if not link and os.path.isdir(path):
-                try:
-                    todo += [os.path.join(path, x) for x in sorted(os.listdir(path), reverse=True)]
-                except OSError:
-                    continue
+            if deep and not link:
+                todo += [(x, True) for x in self._inside(path, pattern)[::-1]]
 
     def _row(self, path: str, target: str | None) -> Iterator[tuple]:
         if target is not None and not self.links:
@@ -120,6 +131,27 @@ def scan(spark: SparkSession, path: str, ignore: str = "", content: bool = False
     return spark.read.format("filetree").options(path=path, ignore=ignore, content=str(content), links=str(links)).load()
 
 
+def blocks(files: DataFrame, block_bytes: int = 64 << 20) -> DataFrame:
+    """path, block_nr, start, content of files (path, size) in ranges that are read each by itself, so a file of any
+    size is read in parallel and no row holds more than a block. A file that can't be read gives null contents."""
+
+    def run(batches):
+        for batch in batches:
+            for path, nr, start in zip(*(batch.column(c).to_pylist() for c in ("path", "block_nr", "start")), strict=True):
+                try:
+                    with open(path, "rb") as f:
+                        f.seek(start)
+                        content = f.read(block_bytes)
+                except OSError:
+                    content = None
+                yield pa.record_batch([pa.array([path]), pa.array([nr], pa.int32()), pa.array([start], pa.int64()), pa.array([content], pa.binary())], ["path", "block_nr", "start", "content"])
+
+    last = F.greatest(F.ceil(F.col("size") / block_bytes), F.lit(1)).cast("int") - 1
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0), last)).alias("block_nr"))
+    ranges = ranges.withColumn("start", F.col("block_nr").cast("long") * block_bytes).repartition(F.col("path"), F.col("block_nr"))
+    return ranges.mapInArrow(run, "path string, block_nr int, start long, content binary")
+
+
 def listing(spark: SparkSession, url: str) -> DataFrame:
     """path, size of all files below a URL of any file system that Spark knows, paths relative to it."""
     jvm, sc = spark._jvm, spark.sparkContext

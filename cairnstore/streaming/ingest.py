@@ -14,12 +14,13 @@ from ..repo import SnapshotRepo
 def backup_stream(files: DataFrame, repo: SnapshotRepo, checkpoint: str, keep_older: bool = True, max_batches: bool = True) -> StreamingQuery:
     """Each micro-batch becomes a snapshot of what it brings and, with keep_older, of what the newest one has.
 
-    A batch that is run again finds all its files unchanged and writes no snapshot."""
+    Kept files come without content, by their path, size and time alone; nothing of the store is read for them. A
+    batch that is run again finds all its files unchanged and writes no snapshot."""
 
     def put(batch: DataFrame, number: int) -> None:
         rows = batch.dropDuplicates(["path"])
         if keep_older:
-            old = repo.restore().select("path", "size", F.col("attrs.mtime_ms").alias("mtime_ms"), F.lit(None).cast("binary").alias("content"))
+            old = repo.files().select("path", "size", "mtime_ms", F.lit(None).cast("binary").alias("content"))
             rows = rows.unionByName(old.join(rows.select("path"), "path", "left_anti"), allowMissingColumns=True)
         repo.backup(rows, at=datetime.now(UTC))
 

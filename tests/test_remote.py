@@ -4,7 +4,7 @@ import os
 
 from cairnstore.operators import journal
 from cairnstore.sources.exchange import export_json, import_json, write_repeat_script
-from cairnstore.sources.remote import RemoteStore, mirror
+from cairnstore.sources.remote import RateLimit, RemoteStore, mirror
 
 
 def test_mirror(spark, tmp_path):
@@ -55,3 +55,23 @@ def test_journal_files(spark, tmp_path):
     lines = spark.createDataFrame([("Start_Writing", None, None), ("File_Finished", "v/a", "m")], "typ string, file string, md5 string").coalesce(1)
     journal.append(lines, str(tmp_path / "j"))
     assert [(r.typ, r.file) for r in journal.entries(journal.read(spark, str(tmp_path / "j"))).orderBy("seq").collect()] == [("Start_Writing", None), ("File_Finished", "v/a")]
+
+
+def test_journal_order(spark, tmp_path):
+    """Lines of separate appends are read in the order of writing."""
+    for typ, want in (("Start_Writing", True), ("Stop_Writing", False), ("Start_Writing", True), ("Stop_Writing", False)):
+        journal.append(spark.createDataFrame([(typ, None, None)], "typ string, file string, md5 string").coalesce(1), str(tmp_path / "j"))
+        assert journal.dirty(journal.entries(journal.read(spark, str(tmp_path / "j")))) is want
+    many = spark.createDataFrame([(i, "File_Finished", f"f {i % 50}", f"m{i}") for i in range(200)], "seq long, typ string, file string, md5 string").repartition(4)
+    journal.append(many, str(tmp_path / "j"))
+    held = journal.entries(journal.read(spark, str(tmp_path / "j")))
+    assert {r.file: r.md5 for r in journal.finished(held).collect()} == {f"f {i}": f"m{i}" for i in range(50)}
+
+
+def test_rate_limit():
+    now, slept = [0.0], []
+    limit = RateLimit(100, clock=lambda: now[0], sleep=slept.append)
+    for size in (50, 100, 0):
+        limit.take(size)
+    assert slept == [0.5, 1.5]
+    RateLimit(None).take(10**12)

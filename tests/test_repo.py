@@ -9,7 +9,7 @@ import pytest
 from cairnstore import cli
 from cairnstore.functions.crypto import WrongPassphrase
 from cairnstore.repo import InUse, SnapshotRepo
-from cairnstore.sources.tree import scan
+from cairnstore.sources.tree import blocks, scan
 from cairnstore.streaming.ingest import backup_stream
 
 SMALL = {"least": 256, "most": 4096, "bits": 9, "volume_bytes": 30_000, "lanes": 2}
@@ -41,6 +41,16 @@ def test_scan(spark, tmp_path):
     assert {"empty", "_hidden", ".dot", "hollow", "."} <= names and "link" not in names
     assert not [n for n in names if n.endswith(".bin") or n.startswith("d2")]
     assert rows[str(tmp_path / "t" / "empty")].size == 0
+    deep = tmp_path / "deep"
+    for i in range(40):
+        (deep / "one" / "two" / f"d{i}").mkdir(parents=True)
+        (deep / "one" / "two" / f"d{i}" / "f").write_text("x" * i)
+    found = scan(spark, str(deep), "**/d7")
+    assert found.rdd.getNumPartitions() > 8
+    walked = [p for d, _, files in os.walk(deep) for p in (d, *(os.path.join(d, f) for f in files)) if "/d7" not in p]
+    assert sorted(r.path for r in found.collect()) == sorted(walked)
+    parts = blocks(found.where("NOT is_folder"), 16)
+    assert {r.path: r.n for r in parts.groupBy("path").agg({"content": "count"}).withColumnRenamed("count(content)", "n").collect()} == {p: max(1, -(-os.path.getsize(p) // 16)) for p in walked if p.endswith("/f")}
 
 
 def test_round_trip(spark, tmp_path):
@@ -127,6 +137,76 @@ def test_crash(spark, tmp_path, monkeypatch):
     open(tmp_path / "repo" / "lock", "w").close()
     with pytest.raises(InUse):
         repo.backup(files)
+    with pytest.raises(InUse):
+        repo.clean()
+    assert repo.clean(force=True) == 0
+    repo.backup(files)
+
+
+def _without(root, table, lose):
+    """Rewrites a table of a repository without some of its rows."""
+    from cairnstore.repo import TABLES
+
+    def run(spark, repo):
+        rows = [r for r in repo.table(table, published=False).collect() if not lose(r)]
+        spark.createDataFrame(rows, TABLES[table]).write.parquet(str(root / "kept"))
+        os.rename(root / "repo" / table, root / f"old-{table}")
+        os.rename(root / "kept", root / "repo" / table)
+
+    return run
+
+
+def test_lost_payload_and_folder(spark, tmp_path):
+    """Verification names chunks without payload and files without their folder."""
+    (tmp_path / "src" / "sub").mkdir(parents=True)
+    (tmp_path / "src" / "sub" / "a").write_bytes(random.Random(1).randbytes(3000))
+    repo = SnapshotRepo.open(spark, str(tmp_path / "repo"), **SMALL)
+    repo.backup(str(tmp_path / "src"))
+    assert repo.verify().count() == 0
+    lost = bytes(repo.table("chunks").orderBy("start").first().hash)
+    _without(tmp_path, "volumes", lambda r: bytes(r.hash) == lost)(spark, repo)
+    assert [(p.subject, p.detail) for p in repo.verify().where("kind = 'content'").collect()] == [(lost.hex(), "lost or unreadable")]
+    assert [r.content for r in repo.restore().collect()] == [None]
+    _without(tmp_path, "folders", lambda r: r.path.endswith("/sub"))(spark, repo)
+    assert [p.subject for p in repo.verify().where("kind = 'folder'").collect()] == [str(tmp_path / "src" / "sub" / "a")]
+
+
+def test_unreadable_stays(spark, tmp_path):
+    """A file without content is not stored as an empty one: the known version stays, also when an index row is lost."""
+    schema = "path string, size long, mtime_ms long, content binary"
+    body = bytearray(random.Random(2).randbytes(700))
+    repo = SnapshotRepo.open(spark, str(tmp_path / "repo"), **SMALL)
+    repo.backup(spark.createDataFrame([("/s/old", 700, 1, body)], schema))
+    _without(tmp_path, "chunks", lambda r: True)(spark, repo)
+    spark.createDataFrame([("/s/new", 3, 2, bytearray(b"abc"))], schema).write.parquet(str(tmp_path / "in"))
+    backup_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), repo, str(tmp_path / "cp")).awaitTermination(120)
+    assert {r.path: bytes(r.content) for r in repo.restore().collect()} == {"/s/old": bytes(body), "/s/new": b"abc"}
+    done = repo.backup(spark.createDataFrame([("/s/old", 9, 5, None), ("/s/never", 1, 1, None)], schema))
+    assert done["unreadable"] == 2 and [(r.path, r.size) for r in repo.files().collect()] == [("/s/old", 700)]
+    assert repo.verify().where("kind = 'chunk'").count() == 1
+
+
+def test_clean_spares_the_writer(spark, tmp_path, monkeypatch):
+    """Nothing is deleted under a writer; a writer whose lock was taken does not publish."""
+    files = spark.createDataFrame([("/r/a", 3, 1, bytearray(b"abc"))], "path string, size long, mtime_ms long, content binary")
+    repo = SnapshotRepo.open(spark, str(tmp_path / "repo"), **SMALL)
+    write, force = SnapshotRepo._write, []
+
+    def late(self, df, name, run):
+        write(self, df, name, run)
+        if name == "snapshots":
+            if force:
+                repo.clean(force=True)
+            else:
+                with pytest.raises(InUse):
+                    repo.clean()
+
+    monkeypatch.setattr(SnapshotRepo, "_write", late)
+    assert repo.backup(files)["snapshot"] and [bytes(r.content) for r in repo.restore().collect()] == [b"abc"]
+    force.append(True)
+    with pytest.raises(InUse):
+        repo.backup(files.withColumn("mtime_ms", files["mtime_ms"] + 1))
+    assert [r.mtime_ms for r in repo.files().collect()] == [1]
 
 
 def test_stream(spark, tmp_path):
