@@ -8,8 +8,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TEXT_ENDINGS = ("csv", "txt", "log", "md", "xml", "json", "html", "ini", "conf", "py", "java", "scala", "sql", "sh")
-IMAGE_ENDINGS = ("png", "jpg", "jpeg", "gif", "bmp", "tif", "tiff")
+#: Endings of files that are shown as text, then of those shown as images.
+TEXT_ENDINGS = (
+    *("csv", "txt", "dif", "diff", "patch", "svg", "asc", "cnf", "cfg", "conf", "htm", "html", "cfm", "cgi", "asp", "aspx", "ini", "pl", "py"),
+    *("md", "css", "cs", "js", "jsp", "log", "htaccess", "htpasswd", "gitignore", "gitattributes", "env", "json", "atom", "eml", "rss", "markdown"),
+    *("sql", "xml", "xsl", "xslt", "sh", "rb", "as", "bat", "cmd", "cob", "for", "ftn", "frm", "frx", "inc", "lisp", "scm", "coffee"),
+    *("php", "php3", "php4", "php5", "php6", "java", "c", "cbl", "go", "h", "scala", "vb", "tmpl", "lock", "yml", "yaml", "tsv", "lst"),
+)
+IMAGE_ENDINGS = ("jpg", "jpeg", "gif", "bmp", "png", "svg", "tif", "tiff")
 
 
 def parts(path: Column) -> Column:

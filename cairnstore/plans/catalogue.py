@@ -89,11 +89,17 @@ def path_parts(spark, sf):
     return page_paths(spark, sf).select("path", paths.parts(p)[0].alias("first"), paths.name(p).alias("name"), paths.parent(p).alias("parent"), F.size(paths.parts(p)).cast("long").alias("depth"), paths.extension(p, F.lit(False)).alias("extension"), paths.codec_key(p).alias("codec_key"), paths.normal(p).alias("normal"))
 
 
-@query(f"""SELECT path, CASE WHEN regexp_matches(lower(path), '\\.(csv|txt|log|md|xml|json|html|ini|conf|py|java|scala|sql|sh)$') THEN 'text'
- WHEN regexp_matches(lower(path), '\\.(png|jpg|jpeg|gif|bmp|tif|tiff)$') THEN 'image' ELSE 'unknown' END AS preview, CASE WHEN starts_with(path, '/src1/') THEN substr(path, 7) ELSE path END AS rel
- FROM ({FILES}) f""")
+#: Names that the SQL and the query make of ids: an ending of each kind.
+ENDINGS = ("txt", "diff", "xslt", "php5", "svg", "JPEG", "tif", "bin", "html~", "gitignore")
+
+
+@query(f"""SELECT path, CASE WHEN e IN ('txt', 'diff', 'xslt', 'php5', 'svg', 'gitignore') THEN 'text' WHEN e IN ('JPEG', 'tif') THEN 'image' ELSE 'unknown' END AS preview,
+ CASE WHEN starts_with(path, '/src1/') THEN substr(path, 7) ELSE path END AS rel
+ FROM (SELECT regexp_replace(path, 'txt$', e) AS path, e FROM (SELECT path, [{', '.join(repr(e) for e in ENDINGS)}][doc_id % {len(ENDINGS)} + 1] AS e FROM ({FILES}) f) a) b""")
 def preview_kinds(spark, sf):
-    return files(spark, sf).select("path", paths.preview_kind(F.col("path")).alias("preview"), paths.relative(F.col("path"), F.lit("/src1")).alias("rel"))
+    ending = F.get(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % len(ENDINGS)).cast("int"))
+    rows = files(spark, sf).select(F.concat(F.regexp_replace("path", "txt$", ""), ending).alias("path"))
+    return rows.select("path", paths.preview_kind(F.col("path")).alias("preview"), paths.relative(F.col("path"), F.lit("/src1")).alias("rel"))
 
 
 @query("""SELECT n, CASE WHEN n <= 0 THEN '0' WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' ELSE
@@ -216,10 +222,16 @@ def cdc_chunks(spark, sf):
     return rows.select("path", "block_nr", "start", F.octet_length("content").alias("length"), F.sha2("content", 256).alias("hash"))
 
 
-@query(f"SELECT path, sha256(text) AS sha256 FROM ({FILES}) f")
+@query(f"SELECT path, sha256(text) AS sha256, CAST(size AS BIGINT) AS bytes, true AS in_bounds, size > 4096 AS cut FROM ({FILES}) f WHERE size <= 256 OR size > 4096")
 def cdc_round_trip(spark, sf):
-    rows = chunking.content_chunks(files(spark, sf).select("path", F.col("text").cast("binary").alias("content")), 256, 4096, 9)
-    return dedup.reassemble(rows).select("path", F.sha2("content", 256).alias("sha256"))
+    """Chunks join to the file, follow each other without a gap, and all but the last hold 256 to 4096 bytes."""
+    rows = chunking.content_chunks(files(spark, sf).where("size <= 256 OR size > 4096").select("path", F.col("text").cast("binary").alias("content")), 256, 4096, 9)
+    size = F.octet_length("content").cast("long")
+    order = Window.partitionBy("path").orderBy("block_nr")
+    rows = rows.withColumn("size", size).withColumn("last", F.lead("block_nr").over(order).isNull())
+    rows = rows.withColumn("good", (F.col("size") <= 4096) & (F.col("last") | (F.col("size") >= 256)) & (F.col("start") == F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    told = rows.groupBy("path").agg(F.sum("size").alias("bytes"), F.bool_and("good").alias("in_bounds"), (F.count(F.lit(1)) > 1).alias("cut"))
+    return dedup.reassemble(rows).select("path", F.sha2("content", 256).alias("sha256")).join(told, "path")
 
 
 @query()
@@ -404,30 +416,58 @@ def codec_winner(spark, sf):
     return policy.choose(rows.dropDuplicates(["hash"]))
 
 
-@query(f"""WITH p AS (SELECT path, string_agg(md5(unhex(substr(h, i * 2000 + 1, 2000))), '' ORDER BY i) AS sums, count(*) AS n
- FROM (SELECT path, hex(encode(text)) AS h FROM ({FILES}) f) d, range(0, 100000) r(i) WHERE i < greatest(1, CAST(ceil(length(h) / 2000.0) AS BIGINT)) GROUP BY path)
-SELECT path, md5(unhex(sums)) || '-' || n AS etag, CASE WHEN sums IS NOT NULL THEN true END AS matches FROM p""")
+def _tags(size: int) -> str:
+    return f"""SELECT doc_id, md5(unhex(string_agg(md5(unhex(substr(h, i * {2 * size} + 1, {2 * size}))), '' ORDER BY i))) || '-' || count(*) AS tag
+ FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents) d, range(0, 100000) r(i) WHERE i < greatest(1, CAST(ceil(length(h) / {2.0 * size}) AS BIGINT)) GROUP BY doc_id"""
+
+
+@query(f"""WITH a AS ({_tags(1000)}), b AS ({_tags(2000)}), c AS ({_tags(3000)}), e AS ({_tags(4000)})
+SELECT path, a.tag AS etag, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN c.tag IN (a.tag, b.tag, e.tag) ELSE false END AS matches
+FROM ({FILES}) f JOIN a USING (doc_id) JOIN b USING (doc_id) JOIN c USING (doc_id) JOIN e USING (doc_id)""")
 def etag_check(spark, sf):
-    data = F.col("text").cast("binary")
-    return files(spark, sf).select("path", hashing.etag(data, 1000).alias("etag"), hashing.etag_matches(data, hashing.etag(data, 2000), (1, 2, 4), 1000).alias("matches"))
+    """By id: a plain MD5 in quotes, a damaged one, parts of 2000 bytes, parts of a size that is not tried, a wrong count."""
+    data, by = F.col("text").cast("binary"), F.col("doc_id") % 5
+    plain = F.md5(data)
+    tag = F.when(by == 0, F.concat(F.lit('"'), F.upper(plain), F.lit('"'))).when(by == 1, F.translate(plain, "0123456789abcdef", "123456789abcdef0")).when(by == 2, hashing.etag(data, 2000))
+    tag = tag.when(by == 3, hashing.etag(data, 3000)).otherwise(F.concat(F.substring_index(hashing.etag(data, 2000), "-", 1), F.lit("-77777")))
+    return files(spark, sf).select("path", hashing.etag(data, 1000).alias("etag"), hashing.etag_matches(data, tag, (1, 2, 4), 1000).alias("matches"))
 
 
-@query(f"SELECT path, sha256(text) AS sha256 FROM ({FILES}) f")
+@query(f"SELECT path, sha256(text) AS sha256, CAST(28 AS BIGINT) AS added, false AS shows, CAST(NULL AS VARCHAR) AS wrong_key, CAST(NULL AS VARCHAR) AS damaged, substr(sha256(text), 5, 6) AS part FROM ({FILES}) f")
 def seal_round_trip(spark, sf):
+    """Sealed payloads read back, are 28 bytes longer, show nothing of the text, and give nothing to another key or after damage."""
     from ..functions import crypto
 
-    key = crypto.derive("a passphrase", b"fixed salt", 256)
-    back = crypto.unseal(crypto.seal(F.col("text").cast("binary"), key), key)
-    return files(spark, sf).select("path", F.sha2(back, 256).alias("sha256"))
-
-
-@query(f"SELECT path, sha256(text) AS sha256 FROM ({FILES}) f")
+    key, other = (crypto.derive(word, b"fixed salt", 256) for word in ("a passphrase", "another"))
+    rows = files(spark, sf).select("path", F.col("text").cast("binary").alias("plain"))
+    rows = rows.select("path", "plain", crypto.seal(F.col("plain"), key).alias("sealed"), crypto.seal(F.sha2("plain", 256).cast("binary"), key).alias("digest"))
+    shows = (F.octet_length("plain") >= 8) & F.contains(F.hex("sealed"), F.hex(F.substring("plain", 1, 8)))
+    cut = F.substring(F.col("sealed"), F.lit(1), F.octet_length("sealed") - 1)
+    text = lambda c: c.cast("string")
+    return rows.select(
+        "path",
+        F.sha2(crypto.unseal(F.col("sealed"), key), 256).alias("sha256"),
+        (F.octet_length("sealed") - F.octet_length("plain")).cast("long").alias("added"),
+        shows.alias("shows"),
+        text(crypto.unseal(F.col("sealed"), other)).alias("wrong_key"),
+        text(crypto.unseal(cut, key)).alias("damaged"),
+        text(crypto.unsealed_range(F.col("digest"), key, F.lit(4), F.lit(6))).alias("part"),
+    )
+
+
+@query(f"""SELECT path, sha256(text) AS sha256, [0, 1, 3, 4, 5, 6, 7][doc_id % 7 + 1] AS tag, doc_id % 7 <> 0 AS shorter, doc_id % 7 = 0 AS plain
+ FROM ({FILES}) f WHERE size >= 2048""")
 def codec_round_trip(spark, sf):
+    """By id, each codec: its tag byte, what it packs is shorter, and reads back."""
     from ..functions import codecs
 
     kinds = F.array(*(F.lit(c.name) for c in names.Codec))
     codec = F.get(kinds, (F.col("doc_id") % F.size(kinds)).cast("int"))
-    return files(spark, sf).select("path", F.sha2(codecs.decompress(codecs.compress(F.col("text").cast("binary"), codec)), 256).alias("sha256"))
+    rows = files(spark, sf).where("size >= 2048").select("path", F.col("text").cast("binary").alias("plain"), codec.alias("codec"))
+    rows = rows.withColumn("packed", codecs.compress(F.col("plain"), F.col("codec")))
+    body = F.substring(F.col("packed"), F.lit(2), F.octet_length("packed"))
+    tag = F.conv(F.hex(F.substring("packed", 1, 1)), 16, 10).cast("int")
+    return rows.select("path", F.sha2(codecs.decompress(F.col("packed")), 256).alias("sha256"), tag.alias("tag"), (F.octet_length("packed") < F.octet_length("plain")).alias("shorter"), (body == F.col("plain")).alias("plain"))
 
 
 @query("SELECT label, count(*) AS chunks FROM embeddings GROUP BY label")
@@ -562,3 +602,6 @@ def stream_chunks(spark, sf):
     spark.createDataFrame([], "hash string").write.parquet(f"{out}/chunks/batch=-1")
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("hash string, batch long").parquet(f"{out}/chunks").select("hash")
+
+
+from . import stores  # noqa: E402, F401  registers its queries
