@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 #: Most rows that may be broadcast; a larger side is joined through a shuffle.
 BROADCAST_ROWS = 200_000
 #: Bytes of text handled at once inside a Python task; a single longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: `[^\x20\x09-\x0D]+`, the words of every contract.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -35,21 +36,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch, where the session has Spark's own 10,000: texts are wide.
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 class Shared:
     """A broadcast whose classes travel by value, as functions do; the driver proves the size of what it sends."""
 
     def __init__(self, spark: SparkSession, value) -> None:
+        small_batches(spark)
         self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
     @property
     def value(self):
-        return cloudpickle.loads(self.sent.value)
+        found = cloudpickle.loads(self.sent.value)
+        self.sent.__dict__.pop("_value", None)  # the pickled form; it lies in a file and is read again if need be
+        return found
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: lineage ends at replicated storage. The table goes
     when the application ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,7 +82,6 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, cells=None) -> DataFrame:
     return F.broadcast(df) if held <= limit else df
 
 
-
 #: Most bits of a sieve: 64 MB, sent as rows of 4 KB.
 SIEVE_BITS, SIEVE_ROW = 1 << 29, 1 << 15
 
@@ -99,18 +113,27 @@ def matching(df: DataFrame, keys: DataFrame, on: list[str], limit: int | None =
     return kept.where(F.col(f"`{name}`")).drop(name).join(keys, on)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: workers stay for later tasks, beside other workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about SLICE_BYTES of text, or one row; null texts become empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(text)
-        filled = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-        batch = batch.set_column(at, text, filled)
-        lengths = pc.cumulative_sum(pc.cast(pc.binary_length(filled), pa.int64())).to_numpy()
+        lengths = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(batch.column(at)), 0), pa.int64())).to_numpy()
         begin = 0
         while begin < batch.num_rows:
             base = int(lengths[begin - 1]) if begin else 0
             end = max(begin + 1, int(lengths.searchsorted(base + SLICE_BYTES, "right")))
-            yield batch.slice(begin, end - begin)
+            part = batch.slice(begin, end - begin)
+            yield part.set_column(at, text, pc.fill_null(part.column(at).cast(pa.large_string()), ""))
             begin = end
+    release()

@@ -42,7 +42,7 @@ SHARE = 2.0**-16
 #: Pairs counted as one block, and bytes of text to a task that counts.
 COUNTED, TASK_BYTES = 1 << 21, 24 << 20
 #: Texts and words of a block of a large component.
-BLOCK, BLOCK_WORDS = 256, 1_000_000
+BLOCK, BLOCK_WORDS = 256, 500_000
 LAST = (1 << 63) - 1
 POINTS = 4096
 #: Columns of the incidence matrix handled at once.
