@@ -54,8 +54,9 @@ def codec_by_tag(tag: int) -> Codec:
 
 
 def numbered(stem: str, number: Column) -> Column:
-    """`stem/stem_000042`, from 1000 on in a folder for each thousand."""
-    file = F.concat(F.lit(f"{stem}_"), F.lpad(number.cast("string"), 6, "0"))
+    """`stem/stem_000042`, from 1000 on in a folder for each thousand; numbers of more than six digits stay whole."""
+    digits = number.cast("string")
+    file = F.concat(F.lit(f"{stem}_"), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")))
     return F.when(number >= 1000, F.concat_ws("/", F.lit(stem), F.floor(number / 1000).cast("string"), file)).otherwise(F.concat_ws("/", F.lit(stem), file))
 
 
