@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import shutil
 import tempfile
@@ -60,13 +61,28 @@ class Shared:
         return found
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Spark's switch by which the shuffle files of a query go as soon as it is done, not when the driver collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+
+
+def materialise(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     """Writes a table into the shared folder and reads it back: lineage ends at replicated storage. The table goes
-    when the application ends."""
+    when the application ends; drop_shuffles: the shuffle files that made it go at once."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark) if drop_shuffles else contextlib.nullcontext():
+        df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

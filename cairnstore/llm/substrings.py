@@ -13,6 +13,9 @@ ones, sending each automaton to every task would cost the square of the corpus.
 HOT documents have are single windows and their own shards, equal ones joined before the shuffle, so a passage in
 a third of all documents burdens no task.
 
+Texts move as little as may be: sieves keep anchors, texts and losses that meet nothing out of the shuffles, a text
+without losses is never shuffled for its digest, only spans are stored, and each step's shuffle files go with it.
+
 Defined results: null texts have no words; a null id counts as the largest; rows of one id do not remove words
 from each other; a document shorter than 13 words keeps all; an empty table gives an empty result. Columns beside
 id and text are left alone.
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import matching, materialise, sieved, slices
 from .words import shingles, words
 
 LENGTH, GRAM = 13, 5
@@ -127,46 +130,37 @@ def _emit_anchors(length: int, gram: int):
     return run
 
 
-SPAN = pa.list_(pa.struct([("k", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("t", pa.string())]))
-
-
 def _emit_spans(length: int, gram: int, hot: int):
-    """Rows without shared windows are done; the others keep their text and get spans."""
+    """The spans of each text whose windows others share: key, first word, words, text."""
 
     def run(batches):
         for batch in slices(batches):
             w = words(batch.column("text"))
-            a, whole = anchors(w, length, gram)
-            signed, h = _signed(a), w.hashes()
-            exact = _signed(shingles(h, length))
-            hits = batch.column("hits")
-            rows, spans = batch.num_rows, []
-            for i in range(rows):
+            a, _ = anchors(w, length, gram)
+            signed, exact = _signed(a), _signed(shingles(w.hashes(), length))
+            ids, rids, hits = batch.column("d").to_pylist(), batch.column("rid").to_pylist(), batch.column("hits")
+            spans = []
+            for i in range(batch.num_rows):
                 first, last = int(w.first[i]), int(w.first[i + 1])
-                hit = hits[i].as_py()
-                if not hit or last - first < length:
-                    spans.append(None)
+                if last - first < length:
                     continue
-                known = np.array([x["a"] for x in hit], np.int64)
+                hit = hits[i].values
+                known = hit.field("a").to_numpy()
                 order = np.argsort(known)
                 known = known[order]
-                key, n = (np.array([x[c] for x in hit], np.int64)[order] for c in ("k", "n"))
+                key, n = (hit.field(c).to_numpy()[order] for c in ("k", "n"))
                 mine = signed[first : last - length + 1]
                 at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                 found = known[at] == mine
-                k = np.where(n[at] > hot, exact[first : last - length + 1], key[at])
                 alone = n[at] > hot
+                k = np.where(alone, exact[first : last - length + 1], key[at])
                 cut = np.ones(len(mine) + 1, bool)
                 cut[1:-1] = (k[1:] != k[:-1]) | (found[1:] != found[:-1]) | alone[1:]
                 edge = np.flatnonzero(cut)
-                mine_spans = [{"k": int(k[b]), "s": int(b), "n": int(e - b + length - 1), "t": w.span(first + b, first + e + length - 1).decode()} for b, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if found[b]]
-                spans.append(mine_spans or None)
-            text = batch.column("text").to_pylist()
-            done = [None if s else hashlib.sha256(w.span(int(w.first[i]), int(w.first[i + 1])) if w.first[i] < w.first[i + 1] else b"").hexdigest() for i, s in enumerate(spans)]
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("d"), batch.column("rid"), pa.array(np.diff(w.first).astype(np.int64)), pa.array([t if s else None for t, s in zip(text, spans, strict=True)], pa.string()), pa.array(spans, SPAN), pa.array(done, pa.string())],
-                ["doc_id", "d", "rid", "n_words", "text", "spans", "kept_sha256"],
-            )
+                spans += [(ids[i], rids[i], int(k[b]), b, e - b + length - 1, w.span(first + b, first + e + length - 1)) for b, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if found[b]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            rows = [pa.array([x[j] for x in spans], kind) for j, kind in enumerate(kinds)]
+            yield pa.record_batch([*rows[:5], rows[5].cast(pa.string())], ["d", "rid", "k", "s", "n", "t"])
 
     return run
 
@@ -225,7 +219,7 @@ def _finish():
     def run(batches):
         for batch in slices(batches):
             w = words(batch.column("text"))
-            removed, digest = [], []
+            removed, digest, total = [], [], np.diff(w.first).astype(np.int64)
             for i, runs in enumerate(batch.column("runs").to_pylist()):
                 a, b = int(w.first[i]), int(w.first[i + 1])
                 keep = np.ones(b - a + 1, np.int64)
@@ -239,7 +233,7 @@ def _finish():
                 parts = [w.span(a + x, a + y) for x, y in zip(step[::2].tolist(), step[1::2].tolist(), strict=True)]
                 removed.append(b - a - int(keep.sum()))
                 digest.append(hashlib.sha256(b" ".join(parts)).hexdigest())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(digest)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(total), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
@@ -250,24 +244,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = texts.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("rid"), "text")
     points = texts.select("d", "text").mapInArrow(_emit_anchors(length, gram), "a long, d long")
     shared = points.groupBy("a").agg(F.min("d").alias("f"), F.max("d").alias("l"), F.count(F.lit(1)).alias("n")).where("f < l")
-    shared = materialise(shared.select("a", F.xxhash64("f", "l", "n").alias("k"), "n"), "anchors")
-    hits = points.join(shared, "a").groupBy("d").agg(F.collect_set(F.struct("a", "k", "n")).alias("hits"))
-    hits = materialise(hits.withColumnRenamed("d", "hit"), "anchor-hits")
-    cut = texts.join(hits, F.col("d") == F.col("hit"), "left").drop("hit")
-    cut = materialise(cut.mapInArrow(_emit_spans(length, gram, hot), "doc_id long, d long, rid long, n_words long, text string, spans array<struct<k:long,s:int,n:int,t:string>>, kept_sha256 string"), "spans")
-    done = cut.where("spans IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    place = cut.where("spans IS NOT NULL").select("d", "rid", F.explode("spans").alias("x")).select("d", "rid", "x.*")
+    shared = materialise(shared.select("a", F.xxhash64("f", "l", "n").alias("k"), "n"), "anchors", True)
+    hits = matching(points, shared, ["a"]).groupBy("d").agg(F.collect_set(F.struct("a", "k", "n")).alias("hits"))
+    hits = materialise(hits.withColumnRenamed("d", "hit"), "anchor-hits", True)
+    open_ = sieved(texts, F.xxhash64("d"), hits.select(F.xxhash64("hit").alias("key")), "open").where("open")
+    place = open_.join(hits, F.col("d") == F.col("hit")).select("d", "rid", "text", "hits")
+    place = materialise(place.mapInArrow(_emit_spans(length, gram, hot), "d long, rid long, k long, s int, n int, t string"), "spans", True)
     first = place.groupBy("k", "t").agg(F.min("d").alias("m"))
-    matched = materialise(first.repartition("k").sortWithinPartitions("k", "m").mapInArrow(_match(length), "k long, m long, th binary, runs array<int>"), "matched")
+    matched = materialise(first.repartition("k").sortWithinPartitions("k", "m").mapInArrow(_match(length), "k long, m long, th binary, runs array<int>"), "matched", True)
     where = place.select("d", "rid", "s", "n", "k", F.unhex(F.md5(F.col("t").cast("binary"))).alias("th"))
     own = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1), lambda i: F.struct((F.col("s") + F.get("runs", 2 * i)).alias("s"), (F.col("s") + F.get("runs", 2 * i + 1)).alias("e")))
     none = F.array().cast("array<struct<s:int,e:int>>")
     runs = F.when(F.col("d") > F.col("m"), F.array(F.struct("s", (F.col("s") + F.col("n")).alias("e")))).when(F.size("runs") > 0, own).otherwise(none)
     gone = where.join(matched, ["k", "th"]).select(F.col("d").alias("gd"), F.col("rid").alias("grid"), runs.alias("runs")).where(F.size("runs") > 0)
-    gone = materialise(gone.groupBy("gd", "grid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "removed")
-    open_ = cut.where("spans IS NOT NULL").select("doc_id", "d", "rid", "n_words", "text")
-    open_ = open_.join(gone, (F.col("d") == F.col("gd")) & (F.col("rid") == F.col("grid")), "left").select("doc_id", "n_words", "text", F.transform("runs", lambda r: F.array(r["s"], r["e"])).alias("runs"))
-    return done.unionByName(open_.mapInArrow(_finish(), "doc_id long, n_words long, n_removed long, kept_sha256 string"))
+    gone = gone.groupBy("gd", "grid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    gone = materialise(gone.select("gd", "grid", F.transform("runs", lambda r: F.array(r["s"], r["e"])).alias("runs")), "removed", True)
+    marked = sieved(texts, F.xxhash64("d"), gone.select(F.xxhash64("gd").alias("key")), "loses")
+    whole = marked.where("NOT loses").select("doc_id", "text", F.lit(None).cast("array<array<int>>").alias("runs"))
+    less = marked.where("loses").join(gone, (F.col("d") == F.col("gd")) & (F.col("rid") == F.col("grid")), "left").select("doc_id", "text", "runs")
+    return whole.unionByName(less).mapInArrow(_finish(), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

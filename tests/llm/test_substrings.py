@@ -1,12 +1,14 @@
 """Substring removal against its definition, word by word."""
 
 import hashlib
+import os
 import random
 import re
+import time
 
 import pytest
 
-from cairnstore.llm import substrings
+from cairnstore.llm import common, substrings
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -70,3 +72,34 @@ def test_automaton():
         known = {tuple(t[i:j]) for t in texts for i in range(len(t)) for j in range(i, len(t) + 1)} | {()}
         want = [max(n for n in range(i + 2) if tuple(q[i + 1 - n : i + 1]) in known) for i in range(len(q))]
         assert list(a.statistics(q)) == want
+
+
+def test_little_is_kept(spark, tmp_path, monkeypatch):
+    """Long texts that share one passage: neither the texts nor the shuffles that made the tables stay on disk."""
+    r = random.Random(5)
+    word = lambda n: " ".join(f"{r.getrandbits(40):x}" for _ in range(n))
+    passage = word(20)
+    rows = [(i, f"{word(1000)} {passage} {word(1000)}") for i in range(200)]
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {files.getAllFiles().apply(i).getPath() for i in range(files.getAllFiles().length())}
+    before = shuffled()
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    result = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    tables = sum(x.stat().st_size for x in tmp_path.rglob("*.parquet") if x.is_file())
+    assert tables < sum(len(t) for _, t in rows) / 4
+    for _ in range(50):  # files are deleted beside the driver; counts leave a few bytes
+        left = sum(os.path.getsize(x) for x in shuffled() - before if "shuffle" in x and os.path.exists(x))
+        if left < 5000:
+            break
+        time.sleep(0.1)
+    assert left < 5000
+    assert sorted((str(g.doc_id), g.n_words, g.n_removed, g.kept_sha256) for g in result.collect()) == brute(rows)
+
+
+def test_sieves(spark, monkeypatch):
+    """Beyond the bound of broadcasts, anchors are joined behind a sieve."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    rows = fixture(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.dedup_substrings(df, hot=4).collect()
+    assert sorted((str(g.doc_id), g.n_words, g.n_removed, g.kept_sha256) for g in got) == brute(rows)
